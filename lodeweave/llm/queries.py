@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import categories, confusables, packing, personal, tokenize
+from lodeweave.llm import categories, confusables, listings, packing, personal, tokenize
 from lodeweave.session import table
 
 #: Key of the surrogates in the registered query; in use it is a secret parameter.
@@ -16,6 +16,14 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return categories.map_categories(table(spark, sf, "extractions"), table(spark, sf, "category_list"), fields=CATEGORY_FIELDS).withColumnRenamed("id", "extraction_id")
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return listings.same_product_pairs(table(spark, sf, "extractions"))
+
+
+def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return listings.products(table(spark, sf, "extractions"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return confusables.inconsistent(table(spark, sf, "extractions"), "id", ["ten_san_pham", "category_1"]).withColumnRenamed("id", "extraction_id")
 
@@ -40,5 +48,5 @@ def p9_replaced(spark: SparkSession, sf: str) -> DataFrame:
     return personal.replace_personal(table(spark, sf, "documents"), key=SURROGATE_KEY)
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_groups": p5_groups, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_replaced": p9_replaced}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_groups": p5_groups, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_replaced": p9_replaced}
 ORACLE: dict[str, str] = {}
