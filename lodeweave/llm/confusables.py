@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Look-alike letters and their Latin prototypes, by script.
 _TWINS = {
@@ -42,14 +41,19 @@ def plain(text: str) -> str:
     return _SPACES.sub(" ", unicodedata.normalize("NFC", skeleton(text))).strip(" ")
 
 
-def _clean_letters() -> str:
-    """Composed Latin letters that are their own consistent form, and a few frequent signs, as a regex class."""
-    own = [c for c in map(chr, [*range(0xA1, 0x250), *range(0x1E00, 0x1F00)]) if unicodedata.category(c) in ("Lu", "Ll", "No", "So", "Sm", "Po", "Pi", "Pf") and plain(c) == c]
-    return "".join(own) + "–—‘’“”•…€₫"
+def _clean_ranges() -> str:
+    """Characters beyond ASCII that are their own consistent form, as the ranges of a regex class.
+
+    Letters and signs of the Latin blocks, and general punctuation that shows; few ranges
+    keep the pattern fast."""
+    own = [c for c in [*range(0xA1, 0x250), *range(0x1E00, 0x1F00), *range(0x2010, 0x2028), *range(0x2030, 0x205F)] if plain(chr(c)) == chr(c)]
+    starts = [c for c, before in zip(own, [-1, *own]) if c != before + 1]
+    ends = [c for c, after in zip(own, [*own[1:], -1]) if c + 1 != after]
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends))
 
 
 #: What a text that isn't its own consistent form has somewhere: another character, or a space too many.
-SUSPECT = rf"[^ !-~{re.escape(_clean_letters())}]|  |^ | $"
+SUSPECT = rf"[^ !-~{_clean_ranges()}]|  |^ | $"
 
 
 def needs_work(c: Column) -> Column:
@@ -57,21 +61,21 @@ def needs_work(c: Column) -> Column:
     return F.rlike(c, F.lit(SUSPECT))
 
 
-@F.pandas_udf(T.StringType())
-def plain_udf(texts: pd.Series) -> pd.Series:
-    """:func:`plain` of each text, null for null."""
-    memo: dict[str, str] = {}
-    return texts.map(lambda t: None if t is None else memo.get(t) or memo.setdefault(t, plain(t)))
-
-
 def inconsistent(df: DataFrame, id: str, fields: list[str]) -> DataFrame:
     """(id, field, plain_text) of every non-null field that differs from its consistent form.
 
     Most texts are found to be consistent by one pattern in the JVM and never reach
     Python. A text of invisible characters alone has the empty text as its form."""
+    kind = dict(df.dtypes)[id]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["plain_text"] = [plain(t) for t in b["_text"]]
+            yield b[b["plain_text"] != b["_text"]].drop(columns="_text")
+
     cells = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("_text")) for f in fields]))
     rows = df.select(F.col(id), cells).where(F.col("_text").isNotNull() & needs_work(F.col("_text")))
-    return rows.withColumn("plain_text", plain_udf("_text")).where("plain_text != _text").select(id, "field", "plain_text")
+    return rows.mapInPandas(run, f"`{id}` {kind}, field string, plain_text string")
 
 
 def lookalike_groups(df: DataFrame, fields: list[str]) -> DataFrame:
