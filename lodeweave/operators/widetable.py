@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.functions.text import NUMBER, collapse_spaces, fold_key, plain_number
-from lodeweave.session import small
 
 #: Most rows of a column specification; it decides the plan's columns, so it is read on the driver.
 MAX_SPEC_ROWS = 10_000
@@ -128,7 +127,8 @@ def entity_cells(tags: DataFrame, columns: DataFrame, *, entity: str = "extracti
     spark = tags.sparkSession
     lookup = spark.createDataFrame(list(aliases.items()) or [("", -1)], "_k string, pos int")
     rows = tags.select(F.col(entity).alias("entity"), F.col(order).alias("_ord"), F.col(value).alias("_v"), fold_key(F.col(key)).alias("_k")).where("entity is not null and _v is not null")
-    keyed = rows.join(small(lookup), "_k")
+    # read_spec has bounded the lookup by MAX_SPEC_ROWS.
+    keyed = rows.join(F.broadcast(lookup), "_k")
     read = _with_readable(keyed, spec).select("entity", "pos", F.coalesce(F.col("_ord").cast("bigint"), F.lit(-(2**62))).alias("_ord"), "val").where("val is not null")
     return read.groupBy("entity", "pos").agg(F.max_by("val", F.struct("_ord", "val")).alias("val")), spec
 
