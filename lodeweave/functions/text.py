@@ -58,3 +58,46 @@ def plain_number(raw: Column, three_is_thousands: Column) -> Column:
     ``three_is_thousands`` holds and the whole part isn't 0."""
     grouped = F.rlike(raw, F.lit(r"^[1-9]\d{0,2}([.,]\d{3}){2,}$")) | (three_is_thousands & F.rlike(raw, F.lit(r"^[1-9]\d{0,2}[.,]\d{3}$")))
     return F.when(grouped, F.regexp_replace(raw, "[.,]", "")).otherwise(F.regexp_replace(F.regexp_replace(raw, r"[.,](?=.*[.,])", ""), ",", "."))
+
+
+def contains_tokens(haystack: Column, needle: Column) -> Column:
+    """True if the tokens of ``needle`` stand side by side, as whole tokens, in ``haystack``; false for no token."""
+    pad = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    return (F.size(needle) > 0) & F.contains(pad(haystack), pad(needle))
+
+
+def all_tokens(text: Column) -> Column:
+    """Every letter and digit run of the normalised text in order, repetitions kept."""
+    return F.filter(F.split(normalise(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
+def matches_all(keyword: str, haystack: Column) -> Column:
+    """True if every token of the keyword is a part of the normalised haystack; false for a keyword without token."""
+    from lodeweave.functions.plain import tokens_of
+
+    words = tokens_of(keyword)
+    out = F.lit(bool(words))
+    for w in words:
+        out = out & F.contains(normalise(haystack), F.lit(w))
+    return out
+
+
+def clean_line(c: Column) -> Column:
+    """A line without leading numbering (1. 1) 1.2) and without colons, dashes and spaces around it."""
+    return F.regexp_replace(F.regexp_replace(c, r"^\s*\d+(?:\.\d+)*[.)]?\s+", ""), r"^[ :–—\-]+|[ :–—\-]+$", "")
+
+
+def shorten(c: Column, limit: int, notice: str) -> Column:
+    """Texts over ``limit`` characters cut there and followed by ``notice``."""
+    return F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(limit)), F.lit(notice))).otherwise(c)
+
+
+def squeeze(c: Column) -> Column:
+    """Lower case without any white space: the form in which groundedness is tested."""
+    return F.regexp_replace(F.lower(c), r"(?U)[\s ]+", "")
+
+
+def slug(c: Column, limit: int = 100) -> Column:
+    """The last part of a path as a file name of ASCII letters, digits, dots, dashes and underscores."""
+    last = F.regexp_extract(F.regexp_replace(c, "/+$", ""), r"([^/]*)$", 1)
+    return F.left(F.regexp_replace(F.regexp_replace(strip_accents(last), r"[^A-Za-z0-9._-]+", "-"), "^-+|-+$", ""), F.lit(limit))
