@@ -15,3 +15,8 @@ def normalise_text(text: str | None) -> str:
 def tokens_of(text: str | None) -> list[str]:
     """Letter and digit runs of the normalised text."""
     return [t for t in re.split(r"[^\w]+|_+", normalise_text(text)) if t]
+
+
+def fold_key_text(text: str | None) -> str:
+    """Letters and digits only, lower case without accents; as ``text.fold_key`` does for columns."""
+    return "".join(c for c in normalise_text(text) if unicodedata.category(c)[0] in "LN")

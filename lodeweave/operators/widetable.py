@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.functions.plain import fold_key_text
 from lodeweave.functions.text import NUMBER, collapse_spaces, fold_key, plain_number
+from lodeweave.session import local_rows, spread
 
 #: Most rows of a column specification; it decides the plan's columns, so it is read on the driver.
 MAX_SPEC_ROWS = 10_000
@@ -58,11 +60,11 @@ def read_spec(columns: DataFrame) -> tuple[list[WideColumn], dict[str, int]]:
         if c.value_type not in SQL_TYPES:
             raise ValueError(f"unknown type {c.value_type} of {c.attr}")
     place = {c.attr: c.pos for c in spec}
-    keyed = columns.sparkSession.createDataFrame([(r.alias, place[r.attr]) for r in rows if r.attr and r.alias] or [("", -1)], "alias string, pos int")
     aliases: dict[str, int] = {}
-    for r in keyed.select(fold_key(F.col("alias")).alias("k"), "pos").collect():
-        if r.k and aliases.setdefault(r.k, r.pos) != r.pos:
-            raise ValueError(f"two columns go by {r.k}")
+    for r in rows:
+        k = fold_key_text(r.alias)
+        if k and r.attr and aliases.setdefault(k, place[r.attr]) != place[r.attr]:
+            raise ValueError(f"two columns go by {k}")
     return spec, aliases
 
 
@@ -122,12 +124,14 @@ def _from_text(text: Column, kind: str) -> Column:
 
 
 def entity_cells(tags: DataFrame, columns: DataFrame, *, entity: str = "extraction_id", key: str = "key", value: str = "value", order: str = "ord") -> tuple[DataFrame, list[WideColumn]]:
-    """(entity, pos, val): the readable value of highest order per entity and attribute, val as text."""
+    """(entity, pos, val): the readable value of highest order per entity and attribute, val as text.
+
+    ``tags`` is a table scan."""
     spec, aliases = read_spec(columns)
-    spark = tags.sparkSession
-    lookup = spark.createDataFrame(list(aliases.items()) or [("", -1)], "_k string, pos int")
-    rows = tags.select(F.col(entity).alias("entity"), F.col(order).alias("_ord"), F.col(value).alias("_v"), fold_key(F.col(key)).alias("_k")).where("entity is not null and _v is not null")
-    # read_spec has bounded the lookup by MAX_SPEC_ROWS.
+    lookup = local_rows(tags.sparkSession, list(aliases.items()), "_k string,pos int")
+    rows = spread(tags).select(F.col(entity).alias("entity"), F.col(order).alias("_ord"), F.col(value).alias("_v"), F.coalesce(fold_key(F.col(key)), F.lit("")).alias("_k")).where("entity is not null and _v is not null")
+    # read_spec has bounded the lookup by MAX_SPEC_ROWS. A key is never null here, so that no
+    # filter on it repeats the folding.
     keyed = rows.join(F.broadcast(lookup), "_k")
     read = _with_readable(keyed, spec).select("entity", "pos", F.coalesce(F.col("_ord").cast("bigint"), F.lit(-(2**62))).alias("_ord"), "val").where("val is not null")
     return read.groupBy("entity", "pos").agg(F.max_by("val", F.struct("_ord", "val")).alias("val")), spec

@@ -28,6 +28,25 @@ def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= max_bytes else df
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a local relation: its size is known to the optimizer, and no
+    Python worker is needed to read it."""
+    import pyarrow as pa
+
+    names = [f.split()[0] for f in schema.split(",")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    columns = [pa.array([r[i] for r in rows], kinds[f.split()[1]]) for i, f in enumerate(schema.split(","))]
+    return spark.createDataFrame(pa.table(columns, names=names))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan with at least one partition per core, for work that costs more than moving
+    the rows. Large tables have more file splits than cores and are left as they are. For
+    scans only: anything with a shuffle in it would be run to count its partitions."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder of ``spark.checkpoint.dir``; only where none is set, as in
     local tests, a temporary folder is taken."""
