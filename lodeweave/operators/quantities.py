@@ -17,7 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from lodeweave.session import spread
 
 # The quantities, the common unit of each, and the factor of every unit to it.
 _METRES = {"mm": 1.0, "ly": 1.0, "li": 1.0, "milimet": 1.0, "mi-li-met": 1.0, "mi li met": 1.0, "millimet": 1.0, "millimeter": 1.0, "cm": 10.0, "phan": 10.0, "xentimet": 10.0, "xang-ti-met": 10.0, "xang ti met": 10.0, "xen-ti-met": 10.0, "centimet": 10.0, "dm": 100.0, "tac": 100.0, "m": 1000.0, "met": 1000.0, "in": 25.4, "inch": 25.4, "inches": 25.4, '"': 25.4, "''": 25.4, "”": 25.4, "″": 25.4, "ft": 304.8, "feet": 304.8}
@@ -246,7 +247,7 @@ def stated(df: DataFrame, *, id: str = "id", source: str = "url", texts: tuple[s
     for c in columns:
         some = some | (F.col(c) != "")
     rows = df.where(F.col(id).isNotNull() & some).select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(source)).alias("source"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(columns)])
-    return rows.mapInPandas(run, STATED)
+    return spread(rows).mapInPandas(run, STATED)
 
 
 def changepoints(values: np.ndarray, penalty: float) -> list[int]:
