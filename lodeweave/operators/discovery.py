@@ -162,3 +162,47 @@ def signal_score(signals: Column) -> Column:
 def explain(signals: Column) -> Column:
     """The signals in words, as name +points: reason."""
     return F.array_join(F.transform(signals, lambda s: F.concat(s["name"], F.when(s["points"] >= 0, F.lit(" +")).otherwise(F.lit(" ")), s["points"].cast("string"), F.lit(": "), s["reason"])), "; ")
+
+
+def sitemap_reliability(entries: DataFrame, products: DataFrame, sample: int = 10) -> DataFrame:
+    """(domain, sampled, reliability): the share of products among the ``sample`` entries of least hash."""
+    w = Window.partitionBy("domain").orderBy(F.xxhash64("url"), "url")
+    head = entries.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample)
+    marked = head.join(products.select("url").distinct().withColumn("_hit", F.lit(1)), "url", "left")
+    return marked.groupBy("domain").agg(F.count("*").alias("sampled"), (F.count("_hit") / F.count("*")).alias("reliability"))
+
+
+def decode_redirect(url: Column) -> Column:
+    """The target that a search engine's redirect carries as base64 in u=a1..., else the url itself."""
+    coded = F.regexp_extract(url, r"[?&]u=a1([A-Za-z0-9_\-]+)", 1)
+    text = F.decode(F.unbase64(F.translate(coded, "-_", "+/")), "utf-8")
+    return F.when((coded != "") & F.rlike(text, F.lit("^https?://")), text).otherwise(url)
+
+
+def fresh(probes: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """Probe results that are younger than ``days``, the newest of each domain."""
+    best = probes.where(F.col("probed_at") > now - F.expr(f"INTERVAL {int(days)} DAYS")).groupBy("domain").agg(F.max("probed_at").alias("probed_at"))
+    return probes.join(best, ["domain", "probed_at"], "left_semi")
+
+
+def discover(seeds: DataFrame, links: DataFrame, pages: DataFrame, hops: int = 2, budget: int = 1500) -> DataFrame:
+    """(domain, url): product pages found without a sitemap.
+
+    Pages within ``hops`` are walked; their links to cards, or of repeated shapes, are
+    candidates unless navigation names them; a sample of each shape decides for the whole
+    shape, or its urls are verified singly. ``links`` has url, href, ord, in_nav, has_img;
+    ``pages`` has url and kind."""
+    from lodeweave.operators.pages import card_links, nav_links
+
+    reached = walk(seeds, links, hops, budget)
+    mine = links.join(reached.select("domain", "url"), "url").withColumn("id", F.col("url"))
+    candidates = card_links(mine).select(F.col("id").alias("url"), "href").unionByName(repeated_shapes(mine).select("url", "href"))
+    named = nav_links(mine, require=True).select(U.slash_key(F.col("href")).alias("_k")).distinct()
+    new = candidates.join(reached.select("domain", "url"), "url").select("domain", F.col("href").alias("url")).distinct()
+    new = new.where(~U.is_file(F.col("url")) & ~U.is_dated(F.col("url"))).withColumn("_k", U.slash_key(F.col("url"))).join(named, "_k", "left_anti").drop("_k")
+    new = cut(new)
+    products = pages.where("kind = 'product'")
+    verdicts = shape_verdicts(sample_by_shape(new), products)
+    judged = new.withColumn("shape", U.shape(F.col("url"))).join(verdicts.select("domain", "shape", "verdict"), ["domain", "shape"])
+    single = judged.where("verdict = 'verify'").join(products.select("url"), "url", "left_semi")
+    return judged.where("verdict = 'accept'").select("domain", "url").unionByName(single.select("domain", "url"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import dom
 from lodeweave.functions import urls as U
+from lodeweave.session import spread
 
 NAVIGATION = "nav, header, .menu, .nav, #menu, #nav"
 NOISE = frozenset("script style template noscript nav header footer aside iframe svg".split())
@@ -146,6 +147,21 @@ def structured(root: dom.Node) -> dict:
     return out
 
 
+def _own_lines(node: dom.Node) -> list[str]:
+    """An item's or paragraph's lines: inline elements joined, broken at br, without nested items."""
+    lines = [""]
+    stack: list[dom.Node | str] = list(reversed(node.children))
+    while stack:
+        c = stack.pop()
+        if isinstance(c, str):
+            lines[-1] += c
+        elif c.tag == "br":
+            lines.append("")
+        elif c.tag not in ("ul", "ol", "li", "p", "table", "dl") and c.tag not in dom.UNSHOWN:
+            stack += reversed(c.children)
+    return [" ".join(x.split()) for x in lines if x.strip()]
+
+
 def spec_lines(root: dom.Node, scope: str | None = None) -> list[str]:
     """label: value lines of tables of two cells, definition lists and items with a colon, each once."""
     roots = dom.select(root, scope) if scope else [root]
@@ -164,9 +180,9 @@ def spec_lines(root: dom.Node, scope: str | None = None) -> list[str]:
                 if after and after[0].tag == "dd":
                     lines[f"{n.text().rstrip(':').strip()}: {after[0].text()}"] = None
             elif n.tag in ("li", "p"):
-                for t in n.text("\n").split("\n"):
+                for t in _own_lines(n):
                     head, sep, rest = t.partition(":")
-                    if sep and 0 < len(head.strip()) <= 40 and rest.strip() and "//" not in rest[:3]:
+                    if sep and 0 < len(head.strip()) <= 40 and rest.strip() and "//" not in rest[:3] and not head.startswith(">"):
                         lines[f"{head.strip()}: {rest.strip()}"] = None
     return list(lines)
 
@@ -200,7 +216,7 @@ def _per_page(pages: DataFrame, schema: str, read: Callable[[str | None, str | N
 
     chosen = pages.select(*keys, *[c for c in ("url", "html") if c not in keys])
     head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    return chosen.mapInPandas(run, f"{head}, {schema}")
+    return spread(chosen).mapInPandas(run, f"{head}, {schema}")
 
 
 def html_links(pages: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -276,3 +292,54 @@ def rebuild(pages: DataFrame, version: str) -> DataFrame:
         F.col("id").alias("snapshot_id"), "url", "domain", F.lit(version).alias("extractor_version"), F.coalesce("name", "heading", "title").alias("ten_san_pham"), F.col("sku").alias("ma_san_pham"),
         "category_1", "category_2", "category_3", F.col("image").alias("link_anh_san_pham"), F.nullif(F.array_join("spec_lines", "\n"), F.lit("")).alias("thong_so_ky_thuat"),
     )
+
+
+def context_text(html: str | None, limit: int = 12_000) -> str:
+    """What a model is shown of a page: its specification lines, then its other text, each line once."""
+    root = dom.parse(html or "")
+    lines = dict.fromkeys([*spec_lines(root), *root.text("\n", NOISE).split("\n")])
+    return "\n".join(x for x in lines if x)[:limit]
+
+
+def contexts(pages: DataFrame, keys: tuple[str, ...] = ("id",), limit: int = 12_000) -> DataFrame:
+    """(keys, context) of every page."""
+    return _per_page(pages, "context string", lambda h, u: {"context": context_text(h, limit)}, list(keys))
+
+
+def known_links(links: DataFrame, known: DataFrame) -> DataFrame:
+    """Links to known urls, closing slashes aside, each with the url as it is known."""
+    keyed = known.select(F.col("url").alias("product_url"), U.slash_key(F.col("url")).alias("_k")).groupBy("_k").agg(F.min("product_url").alias("product_url"))
+    return links.withColumn("_k", U.slash_key(F.col("href"))).join(keyed, "_k").drop("_k")
+
+
+def pager_links(links: DataFrame) -> DataFrame:
+    """Links from a listing to its further pages: a page marker, and the listing's own path."""
+    marked = F.rlike("href", F.lit(r"(?i)[?&](?:page|p|trang)=\d+|/(?:page|trang)[/-]\d+|[?&]paged=\d+"))
+    own = F.startswith(U.path(F.col("href")), F.regexp_replace(U.path(F.col("url")), "/+$", ""))
+    return links.where(marked & own & (U.host(F.col("href")) == U.host(F.col("url"))))
+
+
+def sku_code(sku: str):
+    """(code, raw id): a sku with a letter is a model code, one of digits alone only an id."""
+    c = F.trim(F.col(sku))
+    return F.when(F.rlike(c, F.lit(r"\p{L}")), c), F.nullif(c, F.lit(""))
+
+
+def parse_tags(answers: DataFrame, column: str = "answer", most: int = 60, longest: int = 200) -> DataFrame:
+    """Model answers with ``tags``, entries of (key, value), and ``error`` for answers that hold none.
+
+    Code fences are stripped; keys are trimmed; blank and overlong values are left out."""
+    body = F.regexp_replace(F.regexp_replace(F.col(column), r"(?s)^\s*```\w*\s*", ""), r"(?s)\s*```\s*$", "")
+    parsed = F.from_json(body, "tags map<string,string>")
+    entries = F.transform(F.map_entries(parsed["tags"]), lambda e: F.struct(F.trim(e["key"]).alias("key"), F.trim(e["value"]).alias("value")))
+    kept = F.slice(F.filter(entries, lambda e: (e["key"] != "") & (e["value"] != "") & (F.length(e["value"]) <= longest)), 1, most)
+    return answers.withColumns({"tags": kept, "error": F.when(parsed["tags"].isNull(), F.lit("no tags object"))})
+
+
+def grounded_tags(tags: DataFrame, source: str) -> DataFrame:
+    """Tags all of whose parts stand in the source text; with an empty source all stay."""
+    from lodeweave.functions.text import squeeze
+
+    text = squeeze(F.col(source))
+    parts = F.filter(F.transform(F.split("value", r"[/,;()]+"), squeeze), lambda p: p != "")
+    return tags.where((F.coalesce(text, F.lit("")) == "") | F.forall(parts, lambda p: F.contains(text, p)))
