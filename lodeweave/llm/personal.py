@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.session import spread
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 # Vietnamese family names.
@@ -388,7 +390,7 @@ def find_personal(df: DataFrame, *, id: str = "doc_id", text: str = "text") -> D
             yield pd.DataFrame({id: pd.Series([r[0] for r in rows], dtype=b.iloc[:, 0].dtype), "kind": [r[1] for r in rows], "value": [r[2] for r in rows]})
 
     some = df.select(id, text).where(F.col(text).isNotNull() & (F.col(text) != ""))
-    return some.mapInPandas(run, f"`{id}` {kind}, kind string, value string")
+    return spread(some).mapInPandas(run, f"`{id}` {kind}, kind string, value string")
 
 
 def replace_personal(df: DataFrame, key: str, *, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -401,4 +403,4 @@ def replace_personal(df: DataFrame, key: str, *, id: str = "doc_id", text: str =
         for b in batches:
             yield pd.DataFrame({id: b.iloc[:, 0], text: [surrogate_text(t, surrogates) for t in b.iloc[:, 1]]})
 
-    return df.select(id, text).mapInPandas(run, f"`{id}` {kind}, `{text}` string")
+    return spread(df.select(id, text)).mapInPandas(run, f"`{id}` {kind}, `{text}` string")

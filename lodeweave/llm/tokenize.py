@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from lodeweave.session import spread
+
 #: File of the vocabulary as ranks; LODEWEAVE_VOCABULARY names another.
 DEFAULT_FILE = "byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges, as published with the vocabulary.
@@ -160,4 +162,4 @@ def encode_column(df: DataFrame, *, id: str = "doc_id", text: str = "text", path
             ids = pa.ListArray.from_arrays(pa.array(np.array(offsets, dtype=np.int32)), pa.array(np.array(flat, dtype=np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], [id, "ids"])
 
-    return df.select(id, text).mapInArrow(run, f"`{id}` {kind}, ids array<int>")
+    return spread(df.select(id, text)).mapInArrow(run, f"`{id}` {kind}, ids array<int>")
