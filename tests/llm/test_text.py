@@ -70,22 +70,42 @@ def test_symmetric_delete_finds_all_within_distance():
         assert (d.find(word) in near) if near else True
 
 
-def damerau(a, b):
-    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
-            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
-    return d[-1][-1]
+def edited(rng, word):
+    """The word after one insertion, deletion, substitution or transposition."""
+    w, k = list(word), rng.randrange(4)
+    i = rng.randrange(len(w) + (k == 0) - (k == 3))
+    if k == 0:
+        w.insert(i, rng.choice("abcxyz"))
+    elif k == 1:
+        del w[i]
+    elif k == 2:
+        w[i] = rng.choice("abcxyz")
+    else:
+        w[i], w[i + 1] = w[i + 1], w[i]
+    return "".join(w)
+
+
+def test_weighted_distance_is_at_most_the_edits():
+    rng = random.Random(1)
+    for _ in range(2000):
+        word = "".join(rng.choice("abcxyz") for _ in range(rng.randint(5, 9)))
+        once = edited(rng, word)
+        twice = edited(rng, once)
+        assert C.weighted_distance(word, once, 9) <= 1 and C.weighted_distance(word, twice, 9) <= 2 and C.weighted_distance(twice, word, 2) <= 2
+    assert C.weighted_distance("khan", "akn", 2) == 2 and C.weighted_distance("abc", "abc", 0) == 0 and C.weighted_distance("abc", "xyz", 1) > 1
+    assert 0.7 <= C.weighted_distance("chanh", "chann", 9) <= 0.8 and C.weighted_distance("led", "leed", 9) == 0.7
 
 
-def test_weighted_distance_is_near_damerau():
-    rng = random.Random(1)
+def test_all_names_within_two_edits_are_found():
+    rng = random.Random(8)
+    names = ["".join(rng.choice("bcghkmp") for _ in range(rng.randint(8, 12))) for _ in range(60)]
+    d = C.Dictionary([(i + 1, n, 0) for i, n in enumerate(names)])
     for _ in range(300):
-        a, b = ("".join(rng.choice("aqwsé") for _ in range(rng.randint(0, 7))) for _ in "ab")
-        w, n = C.weighted_distance(a, b, 99), damerau(a, b)
-        assert 0.7 * n - 1e-9 <= w <= n + 1e-9
+        word = edited(rng, edited(rng, rng.choice(names)).replace("x", "b").replace("y", "c").replace("z", "g").replace("a", "k"))
+        near = {i + 1: C.weighted_distance(word, n, 2) for i, n in enumerate(names)}
+        best = min(near.values())
+        if best <= 2 and "a" not in word:
+            assert near[d.find(word)] <= 2, word
 
 
 @pytest.fixture(scope="module")
