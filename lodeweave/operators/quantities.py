@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.functions.plain import fold_text
 from lodeweave.session import spread
 
 # The quantities, the common unit of each, and the factor of every unit to it.
@@ -68,8 +68,7 @@ _METRE_AND = re.compile(r"^(\d+)\s*m\s*(\d{1,2})$")
 
 def fold(text: str) -> str:
     """Lower case without accents; Ø stays as ø."""
-    text = unicodedata.normalize("NFD", text.replace("đ", "d").replace("Đ", "D").replace("Ø", "ø").replace("\xa0", " "))
-    return "".join(ch for ch in text if not unicodedata.combining(ch)).lower()
+    return fold_text(text).replace("\xa0", " ")
 
 
 def number(raw: str, unit: str | None) -> float:
