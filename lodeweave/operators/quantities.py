@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodeweave.functions.plain import fold_text
 from lodeweave.session import spread
@@ -277,21 +278,23 @@ def changepoints(values: np.ndarray, penalty: float) -> list[int]:
 
 
 #: Longest piece of a history that is searched at once; longer histories are searched in
-#: consecutive pieces, each exactly, with the last level before a piece carried into it.
+#: consecutive pieces, each exactly, with the last level before a piece carried into it, and
+#: the first written level of the history where none lies before.
 PIECE = 2048
 #: Penalty per segment and the largest distance of two equal levels, on natural logs.
 PENALTY = 0.05
 SAME_LEVEL = 0.02
 
 
-def resolve(numbers: np.ndarray, factors: np.ndarray, quantity: str, known: float | None = None) -> tuple[np.ndarray, float | None]:
+def resolve(numbers: np.ndarray, factors: np.ndarray, quantity: str, known: float | None = None, after: float | None = None) -> tuple[np.ndarray, float | None]:
     """Values in the common unit, and the last known level, of one history in order.
 
-    ``known`` is the log level in the common unit before these numbers. A number with a
-    written unit is turned by it. The segments of the raw numbers are then walked from the
-    nearest segment whose unit is known: a segment without unit is turned by the unit
-    whose factor explains its shift from that level; a shift that no pair of units
-    explains is a real change, and the number is taken to be in the common unit."""
+    ``known`` is the log level in the common unit before these numbers, ``after`` the first
+    one behind them, which counts where no other is known. A number with a written unit
+    is turned by it. The segments of the raw numbers are then walked from the nearest
+    segment whose unit is known: a segment without unit is turned by the unit whose factor
+    explains its shift from that level; a shift that no pair of units explains is a real
+    change, and the number is taken to be in the common unit."""
     out = numbers * np.where(factors > 0, factors, 1.0)
     good = numbers > 0
     unknown = (factors == 0) & good
@@ -313,7 +316,7 @@ def resolve(numbers: np.ndarray, factors: np.ndarray, quantity: str, known: floa
         near = levels[i]
         if near is None:
             left = next((x for x in reversed(levels[:i]) if x is not None), known)
-            near = left if left is not None else next((x for x in levels[i:] if x is not None), None)
+            near = left if left is not None else next((x for x in levels[i:] if x is not None), after)
         factor = 1.0
         if near is not None:
             gap = near - raw
@@ -323,18 +326,15 @@ def resolve(numbers: np.ndarray, factors: np.ndarray, quantity: str, known: floa
         out[a:b][mask] = numbers[a:b][mask] * factor
         if levels[i] is None:
             levels[i] = raw + math.log(factor)
-    if levels and levels[-1] is not None:
-        known = levels[-1]
-    return out, known
+    return out, next((x for x in reversed(levels) if x is not None), known)
 
 
 def common_units(rows: DataFrame) -> DataFrame:
     """(id, quantity, value): the output of :func:`stated` in the common unit of each quantity.
 
-    Histories (source and quantity in order of id) are brought into ranges and sorted, so
-    that a history of any length is spread over several ranges and streamed in pieces of
-    at most PIECE numbers; no history is held as a whole. The piece that begins a range
-    starts without a level carried into it."""
+    Each history (source and quantity in order of id) is sorted within one task and streamed
+    in pieces of PIECE numbers counted from its start; no history is held as a whole. Every
+    number knows the last level before its piece and the first written level of its history."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -342,20 +342,21 @@ def common_units(rows: DataFrame) -> DataFrame:
 
         def done(part: pd.DataFrame) -> pd.DataFrame:
             nonlocal level
-            numbers, factors = part["number"].to_numpy(), part["factor"].to_numpy()
+            numbers, factors, first = part["number"].to_numpy(), part["factor"].to_numpy(), part["first"].to_numpy()
             source, quantity = part["source"].to_numpy(), part["quantity"].to_numpy()
             values = numbers * np.where(factors > 0, factors, 1.0)
             edge = np.flatnonzero((source[1:] != source[:-1]) | (quantity[1:] != quantity[:-1])) + 1
             starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(part)]])
-            flat = np.maximum.reduceat(np.where(numbers > 0, numbers, 0), starts) - np.minimum.reduceat(numbers, starts) if len(part) else np.array([])
-            bare = np.add.reduceat((factors == 0).astype(int), starts) if len(part) else np.array([])
-            for i in np.flatnonzero((bare > 0) | (flat > 0)):
+            bare = np.add.reduceat((factors == 0).astype(int), starts)
+            # Histories without a bare number are finished; the last one may go on, so its level counts.
+            for i in np.union1d(np.flatnonzero(bare), [len(starts) - 1]):
                 a, b = starts[i], ends[i]
                 name = (int(source[a]), int(quantity[a]))
                 carried = level[1] if level and level[0] == name else None
+                after = None if np.isnan(first[a]) else float(first[a])
                 for p in range(a, b, PIECE):
                     q = min(p + PIECE, b)
-                    values[p:q], carried = resolve(numbers[p:q], factors[p:q], QUANTITIES[name[1]], carried)
+                    values[p:q], carried = resolve(numbers[p:q], factors[p:q], QUANTITIES[name[1]], carried, after)
                 level = (name, carried)
             return pd.DataFrame({"id": part["id"], "quantity": part["quantity"], "value": values})
 
@@ -364,17 +365,17 @@ def common_units(rows: DataFrame) -> DataFrame:
                 continue
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
             tail = (rows["source"] == rows["source"].iloc[-1]) & (rows["quantity"] == rows["quantity"].iloc[-1])
-            open_rows = int(tail.sum())
-            # The last history may go on in the next batch; it is held back unless it is long.
-            cut = len(rows) - open_rows if open_rows < PIECE else len(rows)
+            # The last history may go on in the next batch; what is left of whole pieces is held back.
+            cut = len(rows) - int(tail.sum()) % PIECE
             held = rows.iloc[cut:]
             if cut:
                 yield done(rows.iloc[:cut])
         if held is not None and len(held):
             yield done(held)
 
-    ranged = rows.repartitionByRange("source", "quantity", "id").sortWithinPartitions("source", "quantity", "id")
-    return ranged.mapInPandas(run, "id long, quantity int, value double")
+    history = Window.partitionBy("source", "quantity").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    written = F.when((F.col("factor") > 0) & (F.col("number") > 0), F.log(F.col("number") * F.col("factor")))
+    return rows.withColumn("first", F.first(written, ignorenulls=True).over(history)).mapInPandas(run, "id long, quantity int, value double")
 
 
 def normalise_quantities(df: DataFrame, *, id: str = "id", source: str = "url", texts: tuple[str, ...] = ("thong_so_ky_thuat",), summaries: tuple[str, ...] = ("tom_tat_tskt",)) -> DataFrame:

@@ -99,6 +99,23 @@ def test_unit_shift_is_reversed(spark):
     assert {got[100 + i] for i in range(5000)} == {12000} and got[6001] == 12000
 
 
+def test_levels_cross_pieces_and_partitions(spark):
+    n = Q.PIECE
+    says = lambda *runs: [f"Cân nặng: {x}" for x, k in runs for _ in range(k)]
+    sources = {
+        "constant": says(("5000 g", n + 1), ("5", n)),  # a constant piece sets the level
+        "late": says(("5", 2 * n + 1), ("5 kg", 1)),  # the first level lies pieces behind
+        "between": says(("5 kg", 1), ("5", 3 * n), ("5000", n)),
+    }
+    rows = [(i * 100_000 + k, name, text) for i, (name, texts) in enumerate(sources.items()) for k, text in enumerate(texts)]
+    rows += [(1_000_000 + i, f"short {i // 3}", f"Cân nặng: {'5 kg' if i % 3 == 0 else 5}") for i in range(9000)]
+    df = spark.createDataFrame(rows, "id long, url string, thong_so_ky_thuat string").withColumn("tom_tat_tskt", F.lit(None).cast("string"))
+    for batch in ("700", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = Q.normalise_quantities(df).collect()
+        assert len(got) == len(rows) and {r.thousandths for r in got} == {5_000_000}
+
+
 def brute_changes(rows, rounds):
     out = set()
     nos = {}
