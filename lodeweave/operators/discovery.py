@@ -114,22 +114,32 @@ def repeated_shapes(links: DataFrame, least: int = 6) -> DataFrame:
     return rows.join(often.select("url", "shape"), ["url", "shape"], "left_semi")
 
 
-def walk(seeds: DataFrame, links: DataFrame, hops: int = 2, budget: int = 1500) -> DataFrame:
+def walk(seeds: DataFrame, links: DataFrame, hops: int = 2, budget: int = 1500, further: DataFrame | None = None) -> DataFrame:
     """(domain, url, hop) of pages reached from the seeds along links, breadth first.
 
-    Each domain visits at most ``budget`` pages, which is the feature: nearer ones first,
-    then by url. One join and one checkpoint per hop."""
-    edges = links.select(F.col("url").alias("_from"), F.col("href").alias("url")).distinct()
-    seen = cut(seeds.select("domain", "url").distinct().withColumn("hop", F.lit(0)))
-    front = seen
-    for hop in range(1, hops + 1):
-        reached = front.select("domain", F.col("url").alias("_from")).join(edges, "_from").select("domain", "url").distinct()
-        front = reached.join(seen, ["domain", "url"], "left_anti").withColumn("hop", F.lit(hop))
-        both = seen.unionByName(front)
-        rank = F.row_number().over(Window.partitionBy("domain").orderBy("hop", "url"))
-        seen = cut(both.withColumn("_r", rank).where(F.col("_r") <= budget).drop("_r"))
-        front = seen.where(F.col("hop") == hop)
-    return seen
+    ``further`` holds links (url, href) that are no hop of their own, such as those from a
+    listing to its next pages; they are followed to their end at each hop. Each domain visits
+    at most ``budget`` pages, which is the feature: nearer ones first, then by url. One join
+    and one checkpoint per hop, and per round of further links."""
+    edges, level = (x.select(F.col("url").alias("_from"), F.col("href").alias("url")).distinct() if x is not None else None for x in (links, further))
+    level = cut(level) if level is not None else None
+    step = 0
+    seen = cut(seeds.select("domain", "url").distinct().withColumns({"hop": F.lit(0), "_step": F.lit(0)}))
+
+    def visit(front: DataFrame, along: DataFrame, hop: int) -> DataFrame:
+        reached = front.select("domain", F.col("url").alias("_from")).join(along, "_from").select("domain", "url").distinct()
+        new = reached.join(seen, ["domain", "url"], "left_anti").withColumns({"hop": F.lit(hop), "_step": F.lit(step)})
+        rank = F.row_number().over(Window.partitionBy("domain").orderBy("hop", "_step", "url"))
+        return cut(seen.unionByName(new).withColumn("_r", rank).where(F.col("_r") <= budget).drop("_r"))
+
+    for hop in range(hops + 1):
+        if hop:
+            step += 1
+            seen = visit(seen.where(F.col("hop") == hop - 1), edges, hop)
+        while level is not None and not (front := seen.where(F.col("_step") == step)).isEmpty():
+            step += 1
+            seen = visit(front, level, hop)
+    return seen.drop("_step")
 
 
 def excluded(domains: DataFrame, blocked: DataFrame) -> DataFrame:
@@ -185,23 +195,64 @@ def fresh(probes: DataFrame, now: Column, days: int = 30) -> DataFrame:
     return probes.join(best, ["domain", "probed_at"], "left_semi")
 
 
+def candidate_links(links: DataFrame, least: int = 6) -> DataFrame:
+    """(url, href, ord) of what may be products on each page: its cards; on pages with fewer than
+    ``least`` of them also links of repeated shapes within the host."""
+    from lodeweave.operators.pages import card_links
+
+    cards = card_links(links.withColumn("id", F.col("url"))).select(F.col("id").alias("url"), "href", "ord")
+    enough = cards.groupBy("url").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("url")
+    own = links.where((U.host(F.col("href")) == U.host(F.col("url"))) & (U.slash_key(F.col("href")) != U.slash_key(F.col("url"))))
+    more = repeated_shapes(own.join(enough, "url", "left_anti")).select("url", "href", "ord")
+    return cards.unionByName(more).groupBy("url", "href").agg(F.min("ord").alias("ord"))
+
+
+#: Cards from which on a page whose kind isn't known is a listing.
+LISTING_CARDS = 30
+# A listing's further page, by the end of its path.
+_PAGE_END = r"(?i)/(?:page|trang)[/-]\d+/*(?=[?#]|$)"
+
+
+def followed(links: DataFrame, candidates: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (url, href) that a walk follows, and those that lead on within one listing.
+
+    A listing leads to its other pages and to candidates that aren't of its most frequent
+    shape, which is that of its products; a product leads nowhere; any other page to its
+    navigation and cards. Links to files, dated paths and other hosts aren't followed."""
+    from lodeweave.operators.pages import card_links, nav_links, pager_links
+
+    said = pages.groupBy("url").agg(F.when(F.bool_or(F.col("kind") == "listing"), "listing").when(F.bool_or(F.col("kind") == "product"), "product").when(F.bool_or(F.col("kind").isNotNull()), "other").alias("_said"))
+    guess = links.groupBy("url").agg(F.when(F.count_distinct(F.when(F.col("has_img"), F.col("href"))) >= LISTING_CARDS, "listing").otherwise("other").alias("_guess"))
+    kinds = cut(guess.join(said, "url", "left").select("url", F.coalesce("_said", "_guess").alias("_kind")))
+    of = lambda df, kind: df.join(kinds.where(F.col("_kind") == kind).select("url"), "url", "left_semi")
+    # The root of a listing's further page is the listing itself.
+    rooted = of(links, "listing").withColumn("id", F.col("url")).withColumn("url", F.regexp_replace("url", _PAGE_END, ""))
+    within = pager_links(rooted).select(F.col("id").alias("url"), "href")
+    other = of(links, "other").withColumn("id", F.col("url"))
+    nav = nav_links(other).select("url", "href")
+    deeper = dominant_shape(of(candidates, "listing")).select("url", "href").unionByName(nav).unionByName(card_links(other).select(F.col("id").alias("url"), "href"))
+    good = (U.host(F.col("href")) == U.host(F.col("url"))) & ~U.is_file(F.col("href")) & ~U.is_dated(F.col("href"))
+    return deeper.where(good), within.where(good)
+
+
 def discover(seeds: DataFrame, links: DataFrame, pages: DataFrame, hops: int = 2, budget: int = 1500) -> DataFrame:
     """(domain, url): product pages found without a sitemap.
 
-    Pages within ``hops`` are walked; their links to cards, or of repeated shapes, are
-    candidates unless navigation names them; a sample of each shape decides for the whole
-    shape, or its urls are verified singly. ``links`` has url, href, ord, in_nav, has_img;
-    ``pages`` has url and kind."""
-    from lodeweave.operators.pages import card_links, nav_links
-
-    reached = walk(seeds, links, hops, budget)
-    mine = links.join(reached.select("domain", "url"), "url").withColumn("id", F.col("url"))
-    candidates = card_links(mine).select(F.col("id").alias("url"), "href").unionByName(repeated_shapes(mine).select("url", "href"))
-    named = nav_links(mine, require=True).select(U.slash_key(F.col("href")).alias("_k")).distinct()
-    new = candidates.join(reached.select("domain", "url"), "url").select("domain", F.col("href").alias("url")).distinct()
+    Pages within ``hops`` are walked, see :func:`followed`; the pages of a listing count as one
+    hop. Their candidates, and products met on the way, are taken unless navigation names them;
+    a sample of each shape decides for the whole shape, or its urls are verified singly.
+    ``links`` has url, href, ord, in_nav, has_img; ``pages`` has url and kind."""
+    from lodeweave.operators.pages import nav_links
+
+    candidates = cut(candidate_links(links))
+    deeper, within = followed(links, candidates, pages)
+    reached = walk(seeds, deeper, hops, budget, within)
+    products = pages.where("kind = 'product'").select("url").distinct()
+    named = nav_links(links.join(reached, "url", "left_semi"), require=True).select(U.slash_key(F.col("href")).alias("_k")).distinct()
+    met = reached.join(products, "url", "left_semi").select("domain", "url")
+    new = candidates.join(reached.select("domain", "url"), "url").select("domain", F.col("href").alias("url")).unionByName(met).distinct()
     new = new.where(~U.is_file(F.col("url")) & ~U.is_dated(F.col("url"))).withColumn("_k", U.slash_key(F.col("url"))).join(named, "_k", "left_anti").drop("_k")
     new = cut(new)
-    products = pages.where("kind = 'product'")
     verdicts = shape_verdicts(sample_by_shape(new), products)
     judged = new.withColumn("shape", U.shape(F.col("url"))).join(verdicts.select("domain", "shape", "verdict"), ["domain", "shape"])
     single = judged.where("verdict = 'verify'").join(products.select("url"), "url", "left_semi")

@@ -122,9 +122,38 @@ def _microdata(root: dom.Node, kind: str) -> list[dict]:
     return out
 
 
+def _rdfa(root: dom.Node) -> list[dict]:
+    """Typed items in RDFa attributes as nodes of the same form as linked data, in order. A property
+    belongs to the nearest typed element around it; terms lose their vocabulary."""
+    local = lambda terms: [re.split(r"[/#:]", t.rstrip("/#"))[-1] for t in terms.split()]
+    out: list[dict] = []
+    stack: list[tuple[dom.Node, dict | None, list[str]]] = [(root, None, [])]
+    while stack:
+        n, owner, waiting = stack.pop()
+        a = n.attrs
+        names = local(a.get("property", ""))
+        if a.get("typeof"):
+            item: dict = {"@type": local(a["typeof"])}
+            out.append(item)
+            for name in dict.fromkeys([*names, *local(a.get("rel", "")), *waiting]) if owner is not None else ():
+                owner.setdefault(name, []).append(item)
+            owner, waiting = item, []
+        elif owner is not None:
+            value = a.get("content") or a.get("src") or a.get("href") or a.get("resource") or (n.text() if names else "")
+            for name in names:
+                owner.setdefault(name, []).append(int(value) if name == "position" and value.isdecimal() else value)
+            # A relation without a target of its own waits for the typed elements below.
+            waiting = local(a["rel"]) if a.get("rel") and not (a.get("href") or a.get("src") or a.get("resource")) else waiting
+        stack += [(c, owner, waiting) for c in reversed(n.children) if isinstance(c, dom.Node)]
+    for item in out:
+        if "position" in item:
+            item["position"] = item["position"][0]
+    return out
+
+
 def structured(root: dom.Node) -> dict:
-    """Product and breadcrumb: linked data before microdata before social tags; the breadcrumb of
-    the product's own block before the longest one."""
+    """Product and breadcrumb: linked data before microdata before RDFa before social tags; the
+    breadcrumb of the product's own block before the longest one."""
     groups = list(_json_ld(root))
     product = home = None
     source = "json-ld"
@@ -136,7 +165,11 @@ def structured(root: dom.Node) -> dict:
     if product is None:
         items = _microdata(root, "Product")
         product, source = (items[0], "microdata") if items else (None, "")
-    lists = [_crumbs(n) for n in home or [] if _is(n, "BreadcrumbList")] or sorted((_crumbs(n) for g in groups for n in g if _is(n, "BreadcrumbList")), key=len, reverse=True) or [_crumbs(n) for n in _microdata(root, "BreadcrumbList")]
+    rdfa = _rdfa(root) if product is None else []
+    if product is None:
+        product = next((n for n in rdfa if _is(n, "Product")), None)
+        source = "rdfa" if product else ""
+    lists = [_crumbs(n) for n in home or [] if _is(n, "BreadcrumbList")] or sorted((_crumbs(n) for g in groups for n in g if _is(n, "BreadcrumbList")), key=len, reverse=True) or [_crumbs(n) for n in _microdata(root, "BreadcrumbList")] or [_crumbs(n) for n in rdfa if _is(n, "BreadcrumbList")]
     out = {"breadcrumb": lists[0] if lists else [], "n_products": sum(_is(n, "Product") for g in groups for n in g) + len(_microdata(root, "Product"))}
     if product is not None:
         out |= {"name": _word(product.get("name")), "sku": _word(product.get("sku")) or _word(product.get("mpn")), "image": _word(product.get("image")), "price_text": _offer(product.get("offers")), "brand": _word(product.get("brand")), "source": source}

@@ -47,7 +47,7 @@ def _discovered(s: DataFrame, p: DataFrame, c: DataFrame, e: DataFrame) -> DataF
     """Discovery over the category pages as listings that show their products as cards."""
     links = _links(c).select("url", "href", F.col("ord").alias("ord"), F.lit(False).alias("in_nav"), F.lit(True).alias("has_img"))
     kinds = store.current_state(e).where("crawl_status != 'not-a-product'").select("url", F.lit("product").alias("kind"))
-    return discovery.discover(p.where("ok").select("domain", "url"), links, kinds, hops=1, budget=1_000_000_000)
+    return discovery.discover(p.where("ok").select("domain", "url"), links, kinds, hops=2, budget=1_000_000_000)
 
 
 QUERIES = {

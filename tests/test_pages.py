@@ -38,6 +38,19 @@ def test_read_page():
     assert (og["name"], og["image"], og["source"]) == ("O", "i", "opengraph")
 
 
+RDFA = """<body vocab="https://schema.org/"><ol typeof="BreadcrumbList"><li property="itemListElement" typeof="ListItem"><a property="item" typeof="WebPage" href="/p"><span property="name">Pha</span></a><meta property="position" content="2">
+<li property="itemListElement" typeof="ListItem"><span property="name">Nhà</span><meta property="position" content="1"><li property="itemListElement" typeof="ListItem"><b property="name">Đèn X</b><meta property="position" content="3"></ol>
+<div typeof="schema:Product"><h1 property="schema:name">Đèn X</h1><img property="image" src="/a.jpg"><span property="sku">AB-1</span><div property="brand" typeof="Brand"><b property="name">Lumo</b></div><div rel="offers"><p typeof="Offer"><i property="price" content="5">5 đ</i></div></div>
+<meta property="og:title" content="O"></body>"""
+
+
+def test_rdfa():
+    got = P.read_page(RDFA, "u")
+    assert (got["name"], got["sku"], got["image"], got["brand"], got["price_text"], got["source"]) == ("Đèn X", "AB-1", "/a.jpg", "Lumo", "5", "rdfa")
+    assert got["breadcrumb"] == ["Nhà", "Pha", "Đèn X"]
+    assert P.read_page("<div typeof=x property=y>" * 3000, "u")["name"] is None
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "https://s.example/d/", PAGE, "s.example", 200), (2, "https://s.example/e", None, "s.example", 200)], "id long, url string, html string, domain string, http_status int")
     links = P.html_links(df)

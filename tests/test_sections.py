@@ -68,6 +68,29 @@ def test_redirects_and_probes(spark):
     assert [(r.domain, r.probed_at.day) for r in D.fresh(probes, now).collect()] == [("a", 25)]
 
 
+def test_discover_follows_listings(spark):
+    u = "https://d/"
+    # A listing whose pages each name the next one only, under a home page with a link to it.
+    links = [(u, u + "c", 0, False, True)]
+    for page in range(1, 6):
+        at = u + "c" + (f"/page/{page}" if page > 1 else "")
+        links += [(at, f"{u}p/{page}-{i}", i, False, True) for i in range(8)] + [(at, f"{u}sub/{page}", 8, False, True)] + [(at, f"{u}n/{i}.html", 20 + i, False, False) for i in range(7)]
+        links += [(at, f"{u}c/page/{page + 1}", 9, False, False)] if page < 5 else []
+    links += [(f"{u}sub/5", f"{u}q/{i}", i, False, True) for i in range(6)]
+    df = spark.createDataFrame(links, "url string, href string, ord int, in_nav boolean, has_img boolean")
+    kinds = [(x, "listing") for x in {r[0] for r in links} if "/c" in x] + [(r[1], "product") for r in links if "/p/" in r[1] or "/q/" in r[1]]
+    pages = spark.createDataFrame(kinds, "url string, kind string")
+    seeds = spark.createDataFrame([("d", u)], "domain string, url string")
+    deeper, within = D.followed(df, D.candidate_links(df), pages)
+    assert {r.href for r in deeper.where("url like '%/c%'").collect()} == {f"{u}sub/{k}" for k in range(1, 6)} and within.count() == 4
+    got = {r.url for r in D.discover(seeds, df, pages).collect()}
+    assert got == {f"{u}p/{k}-{i}" for k in range(1, 6) for i in range(8)} | {f"{u}q/{i}" for i in range(6)}
+    # Repeated shapes count where cards are few.
+    assert D.candidate_links(df).where("href like '%/n/%'").count() == 0
+    few = df.where("has_img = false or href like '%-1'")
+    assert D.candidate_links(few).where("href like '%/n/%'").count() == 35
+
+
 def test_discover(spark):
     cards = [("https://d/c", f"https://d/p/{i}", i, False, True) for i in range(12)]
     links = spark.createDataFrame([("https://d/", "https://d/c", 0, True, False), ("https://d/", "https://d/news/2024/05/x", 1, False, True), *cards, ("https://d/c", "https://d/about.html", 99, False, True)], "url string, href string, ord int, in_nav boolean, has_img boolean")
