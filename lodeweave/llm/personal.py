@@ -101,10 +101,11 @@ _UNIT = r"(?:[Pp]hường|[Pp]huong|P\.|[Xx]ã|[Xx]a|[Qq]uận|[Qq]uan|Q\.|[Hh]u
 _SEGMENT = rf"(?:, ?(?:{_UNIT} ?)?(?:{_NAME}|\d+\b))"
 _EN_ROAD = rf"(?:{_CAP} )+(?:Lane|Avenue|Court|Road|Street|Drive|Close|Square|Way|Terrace|Alley|Boulevard|Hill|Row|Quay)"
 _TAIL = rf"{_SEGMENT}+"
+_HAMLET = r"(?:[Tt]hôn|[Tt]hon|[Xx]óm|[Xx]om|[Ấấ]p|[Ll]àng)"
 ADDRESS = re.compile(
     rf"(?<![\w/.,:\-])(?:"
     rf"(?:[Cc]ăn hộ|[Cc]an ho|[Pp]hòng|[Cc]hung cư) [\w\-]+ (?:[Tt]oà|[Tt]oa|[Tt]òa|[Bb]lock) \w+, ?{_HOUSE} (?:{_ROAD} )?{_NAME}{_TAIL}"
-    rf"|(?:[Tt]hôn|[Tt]hon|[Xx]óm|[Xx]om|[Ấấ]p|[Ll]àng) (?:\d+|{_NAME}), ?(?:{_S} (?:nhà |nha )?{_HOUSE})?{_TAIL}"
+    rf"|{_HAMLET} (?:\d+|{_NAME})(?:, ?(?:{_S} (?:nhà |nha )?{_HOUSE})?{_TAIL}|, ?{_UNIT} ?(?:{_NAME}|\d+\b){_SEGMENT}*)"
     rf"|{_S} (?:nhà|nha) {_HOUSE},? ?{_LANE} {_HOUSE},? ?(?:{_ROAD} )?{_NAME}{_TAIL}"
     rf"|{_S} {_HOUSE},? ?{_LANE} {_HOUSE},? ?(?:{_ROAD} )?{_NAME}{_TAIL}"
     rf"|{_S} (?:nhà |nha )?{_HOUSE} (?:{_ROAD} )?{_NAME}{_TAIL}"
@@ -114,8 +115,9 @@ ADDRESS = re.compile(
     rf"|{_HOUSE} {_NAME}(?:, ?{_UNIT} ?(?:{_NAME}|\d+\b)){_SEGMENT}*"
     rf")(?: City\b)?"
 )
-#: An address has a digit or one of these words near its beginning; most texts have few such places.
-_MAYBE_ADDRESS = re.compile(r"\d[\w/]*,? [\w.]+ ?[^\n]{0,40},")
+#: Every address has a house number or a hamlet's word with only words up to the next comma; most
+#: texts have few such places. Each branch of ADDRESS implies it.
+_MAYBE_ADDRESS = re.compile(rf"(?:\d[A-Za-z]?|{_HAMLET}) \w[\w ]*,")
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _INITIALS = re.compile(r" ((?:[^\W\d_]\.){1,3})(?= )")

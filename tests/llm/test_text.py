@@ -205,6 +205,18 @@ def test_personal(text, want):
     assert all(odd[f.start : f.end] == f.text for f in found)
 
 
+HAMLETS = [
+    ("Giao về thôn Đông, xã Tân Lập, huyện Ba Vì nhé", "thôn Đông, xã Tân Lập, huyện Ba Vì"), ("ở thôn 3, xã Tân Lập nhé", "thôn 3, xã Tân Lập"), ("thôn Đông, số 5, xã Tân Lập", "thôn Đông, số 5, xã Tân Lập"),
+    ("gửi 12 Hoa " + "Mai " * 15 + "Xanh, phường Ba", "12 Hoa " + "Mai " * 15 + "Xanh, phường Ba"), ("đèn làng nghề, giá 5 đồng, bền", None),
+]
+
+
+@pytest.mark.parametrize("text,want", HAMLETS)
+def test_addresses_of_hamlets(text, want):
+    assert [f.text for f in P.find(text) if f.kind == "address"] == ([want] if want else [])
+    assert want is None or want not in P.surrogate_text(text, P.Surrogates(b"k" * 32))
+
+
 def test_surrogates():
     s = P.Surrogates(b"k" * 32)
     text = "Chị Trần Uyên Thoại gọi 0951 632 845; TRAN UYEN THOAI, 0951632845, 0951632846, hộ chiếu Q6337739, cskh.hoai@inbox.test"
