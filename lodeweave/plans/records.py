@@ -46,6 +46,7 @@ QUERIES = {
     "orphan_tags": _t("product_tags", "extractions")(lambda t, e: store.orphans(t.select("extraction_id", "ord"), e, "extraction_id", "id").select("extraction_id", "ord")),
     "number_rows": _t("sites")(lambda s: store.number_rows(s.select("domain"), 500, ["domain"]).select("id", "domain")),
     "valid_at": _t("page_snapshots", "crawl_rounds")(lambda p, r: store.valid_at(p, p.select("url", "domain").distinct().join(F.broadcast(r.where("round_no = 2").select("domain", F.col("opened_at").alias("at"))), "domain").select("url", "at"))),
+    "valid_at_rounds": _t("page_snapshots", "crawl_rounds")(lambda p, r: store.valid_at(p, p.select("url", "domain").distinct().join(F.broadcast(r.select("domain", F.col("opened_at").alias("at"))), "domain").select("url", "at"))),
     "version_counts": _t("extractions")(lambda e: versions.version_counts(e)),
     "cell_changes": _t("extractions")(lambda e: versions.cell_changes(e, "v6", "v7").select("url", "snapshot_id", "field", "before", "after", "change")),
     "change_tally": _t("extractions")(lambda e: versions.change_tally(versions.cell_changes(e, "v6", "v7"))),
@@ -77,6 +78,7 @@ QUERIES = {
     "resolve": _t("category_pages", "category_products", "extractions")(lambda p, c, e: search.resolve(NAME, p, c, _done(e))),
     "export_plan": _t("extractions")(lambda e: export.export_plan(_current(e).where("crawl_status != 'not-a-product' or crawl_status is null").select("id", "domain", "category_2"), "category_2", ["id"]).select("id", "sheet_no", "row_no")),
     "sheet_order": _t("extractions", "category_list")(lambda e, c: export.sheet_order(_current(e), "category_2", c.where("level = 2 and category_id < 205").select(F.col("name").alias("category_2"), F.col("category_id").alias("rank")))),
+    "sheet_order_ranked": _t("extractions", "category_list")(lambda e, c: export.sheet_order(_current(e), "category_2", c.where("level = 2").select(F.col("name").alias("category_2"), F.col("category_id").alias("rank")))),
     "review_rows": _t("extractions")(lambda e: export.review_rows(_current(e), ["tom_tat_uu_diem_tinh_nang", "noi_dung_uu_diem_sp"], "uu_diem_nguon").select("id", "reason")),
     "paging": _t("documents")(lambda d: d.orderBy("doc_id").offset(50).limit(25).select("doc_id", "n_chars")),
     "normalise": _t("documents")(lambda d: d.select("doc_id", X.normalise(F.col("text")).alias("norm"))),
@@ -114,6 +116,7 @@ ORACLE = {
     "orphan_tags": "select extraction_id, ord from product_tags where extraction_id is not null and extraction_id not in (select id from extractions)",
     "number_rows": "select 500 + row_number() over (order by domain) as id, domain from sites",
     "valid_at": "with u as (select distinct url, domain from page_snapshots), m as (select u.url, opened_at as at from u join crawl_rounds r on u.domain = r.domain and r.round_no = 2) select m.url, m.at, (select max_by(id, (fetched_at, id)) from page_snapshots p where p.url = m.url and p.fetched_at <= m.at) as snapshot_id from m",
+    "valid_at_rounds": "with u as (select distinct url, domain from page_snapshots), m as (select u.url, opened_at as at from u join crawl_rounds r on u.domain = r.domain) select m.url, m.at, (select max_by(id, (fetched_at, id)) from page_snapshots p where p.url = m.url and p.fetched_at <= m.at) as snapshot_id from m",
     "version_counts": "select domain, extractor_version, count(distinct snapshot_id) as snapshots from extractions where snapshot_id is not null group by all",
     "cell_changes": f"with {_VER} select url, snapshot_id, field, before, after, change from d",
     "change_tally": f"with {_VER} select field, count(*) filter (change = 'fixed') as fixed, count(*) filter (change = 'broken') as broken, count(*) filter (change = 'changed') as changed from d group by field",
@@ -145,6 +148,7 @@ ORACLE = {
     "resolve": f"with {_DONE}, k as (select domain, url from category_pages where contains({_NORM.format('coalesce(name, url)')}, 'chieu') and contains({_NORM.format('coalesce(name, url)')}, 'sang')), u as (select distinct c.domain, product_url from category_products c join k on k.domain = c.domain and k.url = c.category_url) select domain, count(*) as total, count(d.url) as have, count(*) - count(d.url) as missing, count(*) = count(d.url) as complete from u left join done d on d.url = product_url group by domain",
     "export_plan": f"with {_CUR}, x as (select id, category_2 from cur where crawl_status is distinct from 'not-a-product'), s as (select category_2 g, row_number() over (order by category_2 is null, count(*) desc, category_2) no from x group by 1) select id, no as sheet_no, row_number() over (partition by no order by id) as row_no from x join s on x.category_2 is not distinct from s.g",
     "sheet_order": f"with {_CUR}, x as (select category_2 g, count(*) n from cur group by 1), r as (select name, category_id k from category_list where level = 2 and category_id < 205) select g as \"group\", n, row_number() over (order by g is null, k is null, k, n desc, g) as place from x left join r on name = g",
+    "sheet_order_ranked": f"with {_CUR}, x as (select category_2 g, count(*) n from cur group by 1), r as (select name, category_id k from category_list where level = 2) select g as \"group\", n, row_number() over (order by g is null, k is null, k, n desc, g) as place from x left join r on name = g",
     "review_rows": f"with {_CUR} select id, case when coalesce(tom_tat_uu_diem_tinh_nang, '') = '' and coalesce(noi_dung_uu_diem_sp, '') = '' then 'no-content' else 'from-cluster' end as reason from cur where (coalesce(tom_tat_uu_diem_tinh_nang, '') = '' and coalesce(noi_dung_uu_diem_sp, '') = '') or uu_diem_nguon = 'cluster'",
     "paging": "select doc_id, n_chars from documents order by doc_id limit 25 offset 50",
     "normalise": f"select doc_id, coalesce({_NORM.format('text')}, '') as norm from documents",

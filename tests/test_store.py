@@ -92,3 +92,18 @@ def test_quality(spark):
     assert tuple(quality.grounding(e, t, ["a", "b"]).first()) == (3, 2, 2 / 3)
     assert {r.field: (r.n_filled, r.rate) for r in quality.fill_rates(e, ["a", "b"]).collect()} == {"a": (1, 0.5), "b": (0, 0.0)}
     assert tuple(quality.tag_stats(e, t).first()) == (2, 2, 2.5, 1, 4)
+
+
+def test_registered_whole_jobs(spark, tmp_path):
+    from lodeweave.plans import all_queries
+
+    save = lambda name, sql: spark.sql(f"select * from values {sql}").write.parquet(f"{tmp_path}/{name}.parquet")
+    day = lambda d: f"timestamp_ntz'2025-01-0{d} 00:00:00'"
+    save("page_snapshots", f"(1L, 'u', 'd', {day(2)}), (2L, 'u', 'd', {day(4)}) t(id, url, domain, fetched_at)")
+    save("crawl_rounds", f"('d', 1, {day(1)}), ('d', 2, {day(3)}), ('d', 3, {day(5)}) t(domain, round_no, opened_at)")
+    got = all_queries()["valid_at_rounds"](spark, str(tmp_path)).collect()
+    assert {(r["at"].day, r.snapshot_id) for r in got} == {(1, None), (3, 1), (5, 2)}
+    save("extractions", "(1L, 1L, 'u', 'a'), (2L, 2L, 'v', 'b'), (3L, 3L, 'w', 'b') t(id, snapshot_id, url, category_2)")
+    save("category_list", "(900, 'a', 2), (901, 'b', 2), (1, 'b', 1) t(category_id, name, level)")
+    got = all_queries()["sheet_order_ranked"](spark, str(tmp_path)).orderBy("place").collect()
+    assert [r["group"] for r in got] == ["a", "b"]
