@@ -30,6 +30,8 @@ MAX_REFERENCE = 20_000
 #: Largest edit distance by length of a folded name, and of a value: (shortest length, distance).
 DISTANCES = ((8, 2), (5, 1), (0, 0))
 VALUE_DISTANCES = ((6, 2), (4, 1), (0, 0))
+#: Choices per word and readings in all that are also looked up as mistyped.
+FEW, MOST = 6, 400
 
 # Words for words in the reference's language, folded.
 SYNONYMS = {
@@ -137,6 +139,7 @@ class Dictionary:
                     self.expansions[f"{first}/{w}"].add(f"{u} {w}")
             for w in words:
                 self.expansions[f"{w[0]}."].add(w)
+        self.beginnings = {key[:i] for key in self.exact for i in range(len(key) + 1)}
         for key in self.exact:
             for entry in self.exact[key]:
                 self.keys.append((key, entry))
@@ -155,7 +158,6 @@ class Dictionary:
         words = value.split()
         out = [(" ".join(words), 0.0), (untelex(" ".join(words)), 0.1)]
         choices: list[list[str]] = []
-        ways, opened = 1, False
         for w in words:
             bare = w.strip("()[],;:")
             options = [w]
@@ -166,14 +168,24 @@ class Dictionary:
             if "." in bare and not self.expansions.get(bare):
                 head, _, rest = bare.partition(".")
                 options += [f"{e} {rest}".strip() for e in sorted(self.expansions.get(head + ".", ()))]
-            options = options[:6]
-            ways *= len(options)
-            opened |= len(options) > 1
             choices.append(options)
-        if opened and ways <= 400:
-            out += [(" ".join(c), 0.05) for c in itertools.product(*choices)]
+        few = [options[:FEW] for options in choices]
+        if any(len(options) > 1 for options in choices):
+            # All that are a name in full, and of few readings also those that may be mistyped.
+            out += [(key, 0.05) for key in self._spelled(choices)]
+            if math.prod(map(len, few)) <= MOST:
+                out += [(" ".join(c), 0.05) for c in itertools.product(*few)]
         return out
 
+    def _spelled(self, choices: list[list[str]]) -> set[str]:
+        """Keys of names that one choice per word spells: readings are extended word by word and
+        only kept while a key begins so, which bounds them by the keys, not by the product."""
+        front = {""}
+        for options in choices:
+            tails = {squeeze(o) for o in options}
+            front = {f + t for f in front for t in tails if f + t in self.beginnings}
+        return {f for f in front if f in self.exact}
+
     def find(self, value: str) -> int:
         """The entry a value stands for, 0 for none."""
         keys: dict[str, float] = {}

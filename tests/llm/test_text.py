@@ -180,6 +180,12 @@ def test_best_fit_against_plain_best_fit():
         assert sorted(40 - sum(sizes[i] for i in b) for b in bins) == sorted(rooms)
 
 
+def test_abbreviations_late_in_the_alphabet():
+    words = [f"t{c}n" for c in "abcdefghiklm"]
+    d = C.Dictionary([(i, f"đèn {w}", 1) for i, w in enumerate(words)] + [(50, "đèn txx viền", 1), (60, " ".join(f"{c}zz" for c in "abcdefgh"), 1), (61, " ".join(f"{c}yy" for c in "abcdefgh"), 1)])
+    assert d.find("đèn t. viền") == 50 and d.find("a. b. c. d. e. f. g. hzz") == 60
+
+
 PERSONAL = [
     ("Chị Trần Uyên Thoại (+84 309 772 671) báo đèn hỏng", {("name", "Trần Uyên Thoại"), ("phone", "+84 309 772 671")}),
     ("Từ: trịnh diệu xuyến <msenh [a còng] post chấm hopthu chấm example> .", {("name", "trịnh diệu xuyến"), ("email", "msenh [a còng] post chấm hopthu chấm example")}),
