@@ -1,9 +1,11 @@
 """Quantities written in different units, brought to one unit per quantity.
 
 Two steps. ``stated`` reads every text into raw numbers with the unit written beside
-them, if any. ``common_units`` takes the raw numbers of each source in order, splits
-that history by an exact penalised changepoint search on log values, and turns the
-numbers back where the level moved by the factor between two known units.
+them, if any. ``common_units`` takes the raw numbers of each source in order of time, as
+they are written, splits that history by an exact penalised changepoint search on their
+logarithms, and marks a shift between two segments as a change of unit where it is the
+factor between known units; such segments are turned back. Written units are evidence:
+they start the walk over the segments, and confirm or override what the levels say.
 """
 
 from __future__ import annotations
@@ -14,12 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeweave.functions.plain import fold_text
-from lodeweave.session import spread
+from lodeweave.operators.store import number_rows
+from lodeweave.session import cut, small, spread
 
 # The quantities, the common unit of each, and the factor of every unit to it.
 _METRES = {"mm": 1.0, "ly": 1.0, "li": 1.0, "milimet": 1.0, "mi-li-met": 1.0, "mi li met": 1.0, "millimet": 1.0, "millimeter": 1.0, "cm": 10.0, "phan": 10.0, "xentimet": 10.0, "xang-ti-met": 10.0, "xang ti met": 10.0, "xen-ti-met": 10.0, "centimet": 10.0, "dm": 100.0, "tac": 100.0, "m": 1000.0, "met": 1000.0, "in": 25.4, "inch": 25.4, "inches": 25.4, '"': 25.4, "''": 25.4, "”": 25.4, "″": 25.4, "ft": 304.8, "feet": 304.8}
@@ -214,48 +218,88 @@ def read_text(text: str, short: bool, memo: dict, out: dict[str, tuple[float, fl
                 out[q] = (v, f)
 
 
-STATED = "id long, source long, quantity int, number double, factor double"
+ITEMS = "items array<struct<quantity:int,number:double,factor:double>>"
 
 
-def stated(df: DataFrame, *, id: str = "id", source: str = "url", texts: tuple[str, ...] = ("thong_so_ky_thuat",), summaries: tuple[str, ...] = ("tom_tat_tskt",)) -> DataFrame:
-    """(id, source, quantity, number, factor) of every quantity stated in the texts.
+def stated(df: DataFrame, *, id: str = "id", source: str = "url", keep: tuple[str, ...] = (), texts: tuple[str, ...] = ("thong_so_ky_thuat",), summaries: tuple[str, ...] = ("tom_tat_tskt",)) -> DataFrame:
+    """(id, source, *keep, items) of every row whose texts state a quantity.
 
-    quantity is a place in QUANTITIES, factor the written unit's factor, 0 where no unit
-    is written. The texts come before the summaries; the first statement counts, one with
-    a unit before one without. source is a 64-bit hash of the source column, null for null.
-    Rows with a null id and null or empty texts give nothing."""
+    An item is (quantity, number, factor): a place in QUANTITIES, the number as written and
+    the written unit's factor, 0 where no unit is written. The texts come before the
+    summaries; the first statement counts, one with a unit before one without. source is a
+    64-bit hash of the source column; a row without source has a history of its own. Rows
+    with a null id and null or empty texts give nothing."""
     columns = [*texts, *summaries]
+    kinds = dict(df.dtypes)
+    item = pa.struct([("quantity", pa.int32()), ("number", pa.float64()), ("factor", pa.float64())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memos: tuple[dict, dict] = ({}, {})
         for batch in batches:
-            ids, sources, quantities, numbers, factors = [], [], [], [], []
-            for row in zip(batch["id"], batch["source"], *(batch[f"t{i}"] for i in range(len(columns)))):
+            at, offsets, quantities, numbers, factors = [], [0], [], [], []
+            for row, said in enumerate(zip(*(batch.column(f"t{i}").to_pylist() for i in range(len(columns))))):
                 got: dict[str, tuple[float, float]] = {}
-                for i, text in enumerate(row[2:]):
+                for i, text in enumerate(said):
                     if text:
                         read_text(text, i >= len(texts), memos[i >= len(texts)], got)
+                if not got:
+                    continue
+                at.append(row)
                 for q, (v, f) in got.items():
-                    ids.append(row[0])
-                    sources.append(row[1])
                     quantities.append(_PLACE[q])
                     numbers.append(v)
                     factors.append(f)
-            yield pd.DataFrame({"id": np.array(ids, "int64"), "source": np.array(sources, "int64"), "quantity": np.array(quantities, "int32"), "number": np.array(numbers, "float64"), "factor": np.array(factors, "float64")})
+                offsets.append(len(quantities))
+            flat = pa.StructArray.from_arrays([pa.array(quantities, pa.int32()), pa.array(numbers, pa.float64()), pa.array(factors, pa.float64())], fields=list(item))
+            others = batch.select(["id", "source", *keep]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*others.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=["id", "source", *keep, "items"])
 
     some = F.lit(False)
     for c in columns:
         some = some | (F.col(c) != "")
-    rows = df.where(F.col(id).isNotNull() & some).select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(source)).alias("source"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(columns)])
-    return spread(rows).mapInPandas(run, STATED)
+    own = F.coalesce(F.when(F.col(source).isNotNull(), F.xxhash64(F.col(source))), F.xxhash64(F.lit("no source"), F.col(id)))
+    rows = df.where(F.col(id).isNotNull() & some).select(F.col(id).cast("long").alias("id"), own.alias("source"), *keep, *[F.col(c).alias(f"t{i}") for i, c in enumerate(columns)])
+    return spread(rows).mapInArrow(run, ", ".join(["id long", "source long", *(f"`{c}` {kinds[c]}" for c in keep), ITEMS]))
+
+
+#: Values up to which the search runs on plain lists, which cost less than arrays there.
+SHORT = 64
 
 
-def changepoints(values: np.ndarray, penalty: float) -> list[int]:
+def changepoints(values: np.ndarray | list[float], penalty: float) -> list[int]:
     """Starts of the segments that minimise squared error about segment means plus
     ``penalty`` per segment: exact search with pruning of starts that can't win again."""
     n = len(values)
     if n == 0:
         return []
+    if n > SHORT:
+        before = _search(np.asarray(values, dtype=float), penalty)
+    else:
+        s1, s2 = [0.0], [0.0]
+        for v in values:
+            s1.append(s1[-1] + v)
+            s2.append(s2[-1] + v * v)
+        best, before, alive = [-penalty], [0], [0]
+        for end in range(1, n + 1):
+            costs = []
+            for a in alive:
+                total = s1[end] - s1[a]
+                costs.append(best[a] + max(s2[end] - s2[a] - total * total / (end - a), 0.0))
+            least = min(costs)
+            best.append(least + penalty)
+            before.append(alive[costs.index(least)])
+            alive = [a for a, c in zip(alive, costs) if c < best[end]]
+            alive.append(end)
+    starts, end = [], n
+    while end > 0:
+        starts.append(int(before[end]))
+        end = int(before[end])
+    return starts[::-1]
+
+
+def _search(values: np.ndarray, penalty: float) -> np.ndarray:
+    """For each end the best start of its last segment."""
+    n = len(values)
     s1 = np.concatenate([[0.0], np.cumsum(values)])
     s2 = np.concatenate([[0.0], np.cumsum(values * values)])
     best = np.empty(n + 1)
@@ -263,126 +307,187 @@ def changepoints(values: np.ndarray, penalty: float) -> list[int]:
     before = np.zeros(n + 1, dtype=np.int64)
     alive = np.array([0])
     for end in range(1, n + 1):
-        size = end - alive
         total = s1[end] - s1[alive]
-        cost = best[alive] + np.maximum(s2[end] - s2[alive] - total * total / size, 0.0)
+        cost = best[alive] + np.maximum(s2[end] - s2[alive] - total * total / (end - alive), 0.0)
         k = int(np.argmin(cost))
         best[end] = cost[k] + penalty
         before[end] = alive[k]
-        alive = np.append(alive[cost <= best[end]], end)
-    starts, end = [], n
-    while end > 0:
-        starts.append(int(before[end]))
-        end = int(before[end])
-    return starts[::-1]
+        alive = np.append(alive[cost < best[end]], end)
+    return before
 
 
-#: Longest piece of a history that is searched at once; longer histories are searched in
-#: consecutive pieces, each exactly, with the last level before a piece carried into it, and
-#: the first written level of the history where none lies before.
+#: Longest piece of a history that is searched at once. Longer histories are searched in
+#: consecutive pieces counted from their start, each exactly; the last written unit before a
+#: piece, or else the first one behind it, is carried into it.
 PIECE = 2048
 #: Penalty per segment and the largest distance of two equal levels, on natural logs.
 PENALTY = 0.05
 SAME_LEVEL = 0.02
 
-
-def resolve(numbers: np.ndarray, factors: np.ndarray, quantity: str, known: float | None = None, after: float | None = None) -> tuple[np.ndarray, float | None]:
-    """Values in the common unit, and the last known level, of one history in order.
-
-    ``known`` is the log level in the common unit before these numbers, ``after`` the first
-    one behind them, which counts where no other is known. A number with a written unit
-    is turned by it. The segments of the raw numbers are then walked from the nearest
-    segment whose unit is known: a segment without unit is turned by the unit whose factor
-    explains its shift from that level; a shift that no pair of units explains is a real
-    change, and the number is taken to be in the common unit."""
-    out = numbers * np.where(factors > 0, factors, 1.0)
-    good = numbers > 0
-    unknown = (factors == 0) & good
-    if not unknown.any():
-        if good.any():
-            known = float(np.log(out[good][-1]))
-        return out, known
-    logs = np.log(np.where(good, numbers, 1.0))
+#: How a number's unit was settled. written: as written, and the level doesn't say otherwise;
+#: shift: none is written, the level's shift is the factor of this unit; overridden: written,
+#: while the level's shift is the factor of another unit; kept: none is written and the shift
+#: is no known factor, so a real change in the unit of the segment before; assumed: nothing is
+#: known of the history's unit, so the common one.
+HOW = ("written", "shift", "overridden", "kept", "assumed")
+_WRITTEN, _SHIFT, _OVERRIDDEN, _KEPT, _ASSUMED = range(5)
+_FACTORS = {q: sorted(set(units.values())) for q, units in UNITS.items()}
+
+Level = tuple[float, float]  # log level in the common unit, factor of the unit it is written in
+
+
+def _by_level(gaps: tuple[float, float], factors: list[float]) -> float | None:
+    """The known factor that explains one of the shifts, None if none does."""
+    off, f = min((abs(math.log(f) - gap), f) for f in factors for gap in gaps)
+    return f if off <= SAME_LEVEL else None
+
+
+def resolve(numbers: list[float], factors: list[float], quantity: str, before: Level | None = None, after: Level | None = None) -> tuple[list[float], list[int]]:
+    """Values in the common unit and how each one's unit was settled (places in HOW), of one
+    history in order. Factors are those of the written units, 0 where none is written.
+
+    The raw numbers are searched, written units or not. The walk over the segments starts
+    at ``before``, a level known from before these numbers, else at the first segment with
+    a written unit, else at ``after``, else at the longest segment, which is then taken to
+    be in the common unit; from there every segment is compared with its neighbour."""
+    values = [v * (f or 1.0) for v, f in zip(numbers, factors)]
+    how = [_WRITTEN if f else _ASSUMED for f in factors]
+    places = [i for i, v in enumerate(numbers) if v > 0]
+    if not places:
+        return values, how
+    logs = [math.log(numbers[i]) for i in places]
     starts = changepoints(logs, PENALTY)
-    ends = [*starts[1:], len(numbers)]
-    levels: list[float | None] = []
+    ends = [*starts[1:], len(places)]
+    raw, written = [], []
     for a, b in zip(starts, ends):
-        mine = (factors[a:b] > 0) & good[a:b]
-        levels.append(float(np.median(np.log(out[a:b][mine]))) if mine.any() else None)
-    for i, (a, b) in enumerate(zip(starts, ends)):
-        if not unknown[a:b].any():
-            continue
-        raw = float(np.median(logs[a:b][good[a:b]]))
-        near = levels[i]
-        if near is None:
-            left = next((x for x in reversed(levels[:i]) if x is not None), known)
-            near = left if left is not None else next((x for x in levels[i:] if x is not None), after)
-        factor = 1.0
-        if near is not None:
-            gap = near - raw
-            fits = [f for f in set(UNITS[quantity].values()) if abs(math.log(f) - gap) <= SAME_LEVEL]
-            factor = min(fits, key=lambda f: abs(math.log(f) - gap)) if fits else 1.0
-        mask = unknown[a:b]
-        out[a:b][mask] = numbers[a:b][mask] * factor
-        if levels[i] is None:
-            levels[i] = raw + math.log(factor)
-    return out, next((x for x in reversed(levels) if x is not None), known)
-
-
-def common_units(rows: DataFrame) -> DataFrame:
-    """(id, quantity, value): the output of :func:`stated` in the common unit of each quantity.
-
-    Each history (source and quantity in order of id) is sorted within one task and streamed
-    in pieces of PIECE numbers counted from its start; no history is held as a whole. Every
-    number knows the last level before its piece and the first written level of its history."""
+        ordered = sorted(logs[a:b])
+        raw.append((ordered[(b - a - 1) // 2] + ordered[(b - a) // 2]) / 2)
+        units = [factors[i] for i in places[a:b] if factors[i]]
+        written.append(max(dict.fromkeys(units), key=units.count) if units else None)
+    n = len(starts)
+    unit: list[float] = [1.0] * n
+    said: list[int] = [_ASSUMED] * n
+
+    def mark(i: int, near: Level, edge: float | None, rightward: bool) -> tuple[Level, float]:
+        # The shift between the two numbers at the border counts as that between the medians:
+        # a segment may hold small real changes.
+        mine = logs[starts[i]] if rightward else logs[ends[i] - 1]
+        by_level = _by_level((near[0] - raw[i], (near[0] if edge is None else edge) - mine), _FACTORS[quantity])
+        if written[i] is None:
+            unit[i], said[i] = (by_level, _SHIFT) if by_level else (near[1], _KEPT)
+        else:
+            unit[i], said[i] = written[i], _OVERRIDDEN if by_level and by_level != written[i] else _WRITTEN
+        return settled(i, rightward)
+
+    def settled(i: int, rightward: bool) -> tuple[Level, float]:
+        turned = math.log(unit[i])
+        return (raw[i] + turned, unit[i]), (logs[ends[i] - 1] if rightward else logs[starts[i]]) + turned
+
+    first = next((i for i in range(n) if written[i]), None)
+    at = None
+    if before is not None:
+        level, right, left = before, range(n), ()
+    elif first is not None or after is None:
+        at = first if first is not None else max(range(n), key=lambda i: (ends[i] - starts[i], -i))
+        unit[at], said[at] = written[at] or 1.0, _WRITTEN if written[at] else _ASSUMED
+        level, right, left = None, range(at + 1, n), range(at - 1, -1, -1)
+    else:
+        level, right, left = after, (), range(n - 1, -1, -1)
+    for walk, rightward in ((right, True), (left, False)):
+        near = (level, None) if at is None else settled(at, rightward)
+        for i in walk:
+            near = mark(i, *near, rightward)
+    for k, (a, b) in enumerate(zip(starts, ends)):
+        for i in places[a:b]:
+            if not factors[i]:
+                # Beside a written unit on the same level a bare number follows that level.
+                values[i], how[i] = numbers[i] * unit[k], _SHIFT if written[k] else said[k]
+            else:
+                how[i] = said[k] if factors[i] == unit[k] else _OVERRIDDEN
+    return values, how
+
+
+_HISTORY = ["source", "quantity"]
+_ORDER = ["at", "id", "number", "factor"]
+_LEVELS = "before struct<level:double,factor:double>, after struct<level:double,factor:double>"
+
+
+def _in_pieces(flat: DataFrame) -> DataFrame:
+    """Every number with its piece and the levels known before and behind that piece.
+
+    Only histories of more than PIECE numbers have more than one piece; their numbers are
+    counted over sorted ranges, so a history of any length lies in many tasks."""
+    none = [F.lit(None).cast("struct<level:double,factor:double>").alias(c) for c in ("before", "after")]
+    long = cut(flat.groupBy(*_HISTORY).agg(F.count("*").alias("n")).where(F.col("n") > PIECE).select(*_HISTORY))
+    if long.isEmpty():
+        return flat.select("*", F.lit(0).cast("long").alias("piece"), *none)
+    keys = small(long)
+    short = flat.join(keys, _HISTORY, "left_anti").select("*", F.lit(0).cast("long").alias("piece"), *none)
+    numbered = cut(number_rows(flat.join(keys, _HISTORY, "left_semi"), -1, [*_HISTORY, *_ORDER], "_n"))
+    starts = numbered.groupBy(*_HISTORY).agg(F.min("_n").alias("_start"))
+    placed = numbered.join(small(starts), _HISTORY).withColumn("piece", F.floor((F.col("_n") - F.col("_start")) / PIECE)).drop("_start")
+    level = F.when((F.col("factor") > 0) & (F.col("number") > 0), F.struct(F.log(F.col("number") * F.col("factor")).alias("level"), "factor"))
+    known = placed.groupBy(*_HISTORY, "piece").agg(F.max_by(level, F.when(level.isNotNull(), F.col("_n"))).alias("_last"), F.min_by(level, F.when(level.isNotNull(), F.col("_n"))).alias("_first"))
+    up = Window.partitionBy(*_HISTORY).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*_HISTORY).orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = known.select(*_HISTORY, "piece", F.last("_last", ignorenulls=True).over(up).alias("before"), F.last("_first", ignorenulls=True).over(down).alias("after"))
+    return short.unionByName(placed.drop("_n").join(levels, [*_HISTORY, "piece"]))
+
+
+def common_units(rows: DataFrame, time: Column | None = None) -> DataFrame:
+    """(id, quantity, value, how): the output of :func:`stated` in the common unit of each
+    quantity; how is a place in HOW.
+
+    A history is a source's numbers of one quantity in order of ``time``, then of id. Every
+    history of two or more numbers is searched. The result doesn't depend on partitions or
+    batches: a piece is held by one task as a whole, and no task holds more."""
+    flat = rows.select("id", "source", (F.lit(0) if time is None else time).alias("at"), F.inline("items"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
-        level: tuple[tuple[int, int], float | None] | None = None
 
         def done(part: pd.DataFrame) -> pd.DataFrame:
-            nonlocal level
-            numbers, factors, first = part["number"].to_numpy(), part["factor"].to_numpy(), part["first"].to_numpy()
-            source, quantity = part["source"].to_numpy(), part["quantity"].to_numpy()
-            values = numbers * np.where(factors > 0, factors, 1.0)
-            edge = np.flatnonzero((source[1:] != source[:-1]) | (quantity[1:] != quantity[:-1])) + 1
+            numbers, factors = part["number"].to_numpy(), part["factor"].to_numpy()
+            source, quantity, piece = part["source"].to_numpy(), part["quantity"].to_numpy(), part["piece"].to_numpy()
+            values, how = numbers * np.where(factors > 0, factors, 1.0), np.where(factors > 0, _WRITTEN, _ASSUMED)
+            edge = np.flatnonzero((source[1:] != source[:-1]) | (quantity[1:] != quantity[:-1]) | (piece[1:] != piece[:-1])) + 1
             starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(part)]])
-            bare = np.add.reduceat((factors == 0).astype(int), starts)
-            # Histories without a bare number are finished; the last one may go on, so its level counts.
-            for i in np.union1d(np.flatnonzero(bare), [len(starts) - 1]):
-                a, b = starts[i], ends[i]
-                name = (int(source[a]), int(quantity[a]))
-                carried = level[1] if level and level[0] == name else None
-                after = None if np.isnan(first[a]) else float(first[a])
-                for p in range(a, b, PIECE):
-                    q = min(p + PIECE, b)
-                    values[p:q], carried = resolve(numbers[p:q], factors[p:q], QUANTITIES[name[1]], carried, after)
-                level = (name, carried)
-            return pd.DataFrame({"id": part["id"], "quantity": part["quantity"], "value": values})
+            levels = part[["before", "after"]].to_numpy()
+            # One number alone with a written unit is one segment and has no neighbour.
+            for k in np.flatnonzero((ends - starts > 1) | (factors[starts] == 0)):
+                a, b = int(starts[k]), int(ends[k])
+                known = [None if x is None else (x["level"], x["factor"]) for x in levels[a]]
+                values[a:b], how[a:b] = resolve(numbers[a:b].tolist(), factors[a:b].tolist(), QUANTITIES[quantity[a]], *known)
+            return pd.DataFrame({"id": part["id"], "quantity": part["quantity"], "value": values, "how": how.astype("int32")})
 
         for batch in batches:
             if not len(batch):
                 continue
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            tail = (rows["source"] == rows["source"].iloc[-1]) & (rows["quantity"] == rows["quantity"].iloc[-1])
-            # The last history may go on in the next batch; what is left of whole pieces is held back.
-            cut = len(rows) - int(tail.sum()) % PIECE
-            held = rows.iloc[cut:]
-            if cut:
-                yield done(rows.iloc[:cut])
+            tail = (rows["source"] == rows["source"].iloc[-1]) & (rows["quantity"] == rows["quantity"].iloc[-1]) & (rows["piece"] == rows["piece"].iloc[-1])
+            # The last piece may go on in the next batch.
+            whole = len(rows) - int(tail.sum())
+            held = rows.iloc[whole:]
+            if whole:
+                yield done(rows.iloc[:whole])
         if held is not None and len(held):
             yield done(held)
 
-    history = Window.partitionBy("source", "quantity").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    written = F.when((F.col("factor") > 0) & (F.col("number") > 0), F.log(F.col("number") * F.col("factor")))
-    return rows.withColumn("first", F.first(written, ignorenulls=True).over(history)).mapInPandas(run, "id long, quantity int, value double")
+    pieces = _in_pieces(flat).repartition(*_HISTORY, "piece").sortWithinPartitions(*_HISTORY, "piece", *_ORDER)
+    return pieces.select("id", *_HISTORY, "piece", "number", "factor", "before", "after").mapInPandas(run, "id long, quantity int, value double, how int")
+
+
+def normalise_quantities(df: DataFrame, *, id: str = "id", source: str = "url", time: str | None = None, texts: tuple[str, ...] = ("thong_so_ky_thuat",), summaries: tuple[str, ...] = ("tom_tat_tskt",)) -> DataFrame:
+    """(id, quantity, thousandths, how) of every quantity of the item itself; see the module's docstring.
 
+    Histories run in order of the column ``time`` (nulls first), then of id; without
+    ``time`` in order of id. A row stated twice under one id gives one row per quantity and
+    repetition; ids are expected to be unique."""
+    said = cut(stated(df, id=id, source=source, keep=(time,) if time else (), texts=texts, summaries=summaries))
+    return named(common_units(said, F.col(time) if time else None), id)
 
-def normalise_quantities(df: DataFrame, *, id: str = "id", source: str = "url", texts: tuple[str, ...] = ("thong_so_ky_thuat",), summaries: tuple[str, ...] = ("tom_tat_tskt",)) -> DataFrame:
-    """(id, quantity, thousandths) of every quantity of the item itself; see the module's docstring.
 
-    A row stated twice under one id gives one row per quantity and repetition; ids are
-    expected to be unique."""
-    values = common_units(stated(df, id=id, source=source, texts=texts, summaries=summaries))
-    name = F.element_at(F.array(*[F.lit(q) for q in QUANTITIES]), F.col("quantity") + 1)
-    return values.select(F.col("id").alias(id), name.alias("quantity"), F.round(F.col("value") * 1000).cast("bigint").alias("thousandths"))
+def named(values: DataFrame, id: str = "id") -> DataFrame:
+    """(id, quantity, thousandths, how) with names for places."""
+    name = lambda names, c: F.element_at(F.array(*[F.lit(n) for n in names]), F.col(c) + 1)
+    return values.select(F.col("id").alias(id), name(QUANTITIES, "quantity").alias("quantity"), F.round(F.col("value") * 1000).cast("bigint").alias("thousandths"), name(HOW, "how").alias("how"))

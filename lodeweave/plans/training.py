@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodeweave.operators import quantities, snapshots, widetable
-from lodeweave.session import table
+from lodeweave.session import cut, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -17,15 +18,30 @@ def p1_wide(spark: SparkSession, sf: str) -> DataFrame:
     return widetable.widen(table(spark, sf, "product_tags"), table(spark, sf, "tag_columns"), table(spark, sf, "extractions").withColumnRenamed("id", "extraction_id"))
 
 
+def _p3(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantities of the pages' histories in order of fetch, for rows without page of extraction."""
+    said = cut(quantities.stated(table(spark, sf, "extractions"), keep=("snapshot_id", "extracted_at")))
+    # Ids are positive, so a row without page finds none, and such rows don't meet in one task.
+    page = F.coalesce("snapshot_id", -1 - F.col("id"))
+    fetched = table(spark, sf, "page_snapshots").select(F.col("id").alias("_page"), "fetched_at")
+    timed = said.withColumn("_page", page).join(fetched, "_page", "left")
+    return quantities.named(quantities.common_units(cut(timed), F.coalesce("fetched_at", "extracted_at")), "extraction_id")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return quantities.normalise_quantities(table(spark, sf, "extractions")).withColumnRenamed("id", "extraction_id")
+    return _p3(spark, sf).drop("how")
+
+
+def p3_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """How many numbers had their unit settled in which way, per quantity."""
+    return _p3(spark, sf).groupBy("quantity", "how").agg(F.count("*").alias("n"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.price_changes(table(spark, sf, "page_snapshots"), table(spark, sf, "extractions"), table(spark, sf, "crawl_rounds"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p3_found": p3_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p3_found": p3_found, "p3_evidence": p3_evidence, "p6_found": p6_found}
 
 _FOLD = "regexp_replace(replace(lower(strip_accents({})), 'đ', 'd'), '[^a-z0-9]+', '', 'g')"
 _P1_CELLS = f"""

@@ -48,12 +48,16 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; only where none is set, as in
-    local tests, a temporary folder is taken."""
+    """Use the folder of ``spark.checkpoint.dir``. Where none is set, a local session, as in
+    tests, takes a temporary folder; on a cluster, whose machines share no such folder, a
+    ValueError is raised."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodeweave-"))
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodeweave-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

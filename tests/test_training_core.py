@@ -1,4 +1,6 @@
 import datetime as dt
+import math
+import os
 import random
 
 import numpy as np
@@ -90,13 +92,50 @@ def test_changepoints_are_exact():
         assert cost(x, Q.changepoints(x, 0.5), 0.5) == pytest.approx(brute_changepoints(x, 0.5), abs=1e-9)
 
 
+def test_long_and_short_search_agree():
+    rng = random.Random(6)
+    for _ in range(30):
+        x = [rng.choice([0, 2.3, 6.9]) + rng.gauss(0, 0.05) for _ in range(rng.randint(2, Q.SHORT))]
+        before, starts, end = Q._search(np.array(x), 0.3), [], len(x)
+        while end > 0:
+            starts.append(int(before[end]))
+            end = int(before[end])
+        assert starts[::-1] == Q.changepoints(x, 0.3)
+    assert Q.changepoints([1.0] * 200_000, 0.05) == [0]
+
+
+def values(spark, rows, **more):
+    df = spark.createDataFrame(rows, "id long, url string, thong_so_ky_thuat string").withColumn("tom_tat_tskt", F.lit(None).cast("string"))
+    return Q.normalise_quantities(df, **more)
+
+
 def test_unit_shift_is_reversed(spark):
     rows = [(i, "a", t) for i, t in enumerate(["Công suất: 24W", "Công suất: 24", "Công suất: 0,024", "Công suất: 0,024", "Công suất: 24", "Công suất: 30", "Công suất: 24.000 mW"])]
     rows += [(100 + i, "b", "Công suất: 12") for i in range(5000)] + [(6000, "b", "Công suất: 12 W"), (6001, "b", "Công suất: 0,012")]
-    df = spark.createDataFrame(rows, "id long, url string, thong_so_ky_thuat string").withColumn("tom_tat_tskt", F.lit(None).cast("string"))
-    got = {r.id: r.thousandths for r in Q.normalise_quantities(df).collect()}
+    rows += [(7000, None, "Công suất: 12 W"), (7001, None, "Công suất: 0,012")]
+    got = {r.id: r.thousandths for r in values(spark, rows).collect()}
     assert [got[i] for i in range(7)] == [24000, 24000, 24000, 24000, 24000, 30000, 24000]
     assert {got[100 + i] for i in range(5000)} == {12000} and got[6001] == 12000
+    assert got[7001] == 12  # rows without source share no history
+
+
+def test_every_history_is_searched_and_written_units_confirm_or_override():
+    kilo = lambda *pairs: Q.resolve([v for v, _ in pairs], [f for _, f in pairs], "weight")
+    how = lambda pairs: [Q.HOW[h] for h in kilo(*pairs)[1]]
+    assert how([(5, 1000.0), (5000, 1.0)]) == ["written", "written"]
+    # 5 kg and then "5 g": the level stays, so the unit should have; the written one counts.
+    assert kilo((5, 1000.0), (5, 1000.0), (5, 1.0)) == ([5000.0, 5000.0, 5.0], [0, 0, 2])
+    assert kilo((5, 1000.0), (5000, 0.0), (9000, 0.0), (9, 0.0)) == ([5000.0, 5000.0, 9000.0, 9000.0], [0, 1, 3, 1])
+    assert how([(5, 0.0), (0, 0.0)]) == ["assumed", "assumed"] and Q.resolve([], [], "weight") == ([], [])
+    assert Q.resolve([5.0], [0.0], "weight", None, (math.log(5000), 1000.0))[0] == [5000.0]
+
+
+def test_histories_run_in_order_of_time(spark):
+    # By time 36 comes before 0.036 and after 24 W: a real change and then a change of unit.
+    rows = [(1, "a", "Công suất: 0,036"), (2, "a", "Công suất: 36"), (3, "a", "Công suất: 24 W")]
+    df = spark.createDataFrame([(*r, 10 - r[0]) for r in rows], "id long, url string, thong_so_ky_thuat string, t int").withColumn("tom_tat_tskt", F.lit(None).cast("string"))
+    got = {r.id: (r.thousandths, r.how) for r in Q.normalise_quantities(df, time="t").collect()}
+    assert got == {3: (24000, "written"), 2: (36000, "kept"), 1: (36000, "shift")}
 
 
 def test_levels_cross_pieces_and_partitions(spark):
@@ -109,11 +148,33 @@ def test_levels_cross_pieces_and_partitions(spark):
     }
     rows = [(i * 100_000 + k, name, text) for i, (name, texts) in enumerate(sources.items()) for k, text in enumerate(texts)]
     rows += [(1_000_000 + i, f"short {i // 3}", f"Cân nặng: {'5 kg' if i % 3 == 0 else 5}") for i in range(9000)]
-    df = spark.createDataFrame(rows, "id long, url string, thong_so_ky_thuat string").withColumn("tom_tat_tskt", F.lit(None).cast("string"))
-    for batch in ("700", "10000"):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-        got = Q.normalise_quantities(df).collect()
-        assert len(got) == len(rows) and {r.thousandths for r in got} == {5_000_000}
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for batch, parts in (("700", "1"), ("10000", "7"), ("10000", "50")):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            got = values(spark, rows).collect()
+            assert len(got) == len(rows) and {r.thousandths for r in got} == {5_000_000}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_units_taken_away_are_found_again(spark):
+    """A third of all written units is hidden; nine in ten come back by the level shifts of their history."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    said = Q.stated(spark.read.parquet(f"{folder}/extractions.parquet")).select("id", "source", F.inline("items")).cache()
+    hidden = F.pmod(F.xxhash64("id", "quantity"), F.lit(3)) == 0
+    bare = said.withColumn("hidden", hidden).withColumn("factor", F.when(hidden, 0.0).otherwise(F.col("factor")))
+    found = Q.common_units(bare.groupBy("id", "source").agg(F.collect_list(F.struct("quantity", "number", "factor")).alias("items")))
+    known = bare.where("factor > 0").select("source", "quantity").distinct()
+    true = said.join(bare.where("hidden").select("id", "source", "quantity"), ["id", "source", "quantity"]).join(known, ["source", "quantity"]).select("id", "quantity", (F.col("number") * F.col("factor")).alias("true"))
+    n, right = true.join(found, ["id", "quantity"]).agg(F.count("*"), F.count_if(F.abs(F.col("value") / F.col("true") - 1) < 0.01)).first()
+    print(f"recall {right}/{n}")
+    assert n > 2000 and right >= 0.9 * n
 
 
 def brute_changes(rows, rounds):
