@@ -41,12 +41,21 @@ def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return personal.find_personal(table(spark, sf, "documents"))
+    return personal.find_personal(table(spark, sf, "documents"), key=SURROGATE_KEY)
+
+
+def p9_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return personal.personal_pairs(table(spark, sf, "documents"), key=SURROGATE_KEY)
+
+
+def p9_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """Per kind how many entities have several surrogates, and surrogates several entities: none."""
+    return personal.distinctness(p9_pairs(spark, sf)).where("entities > 0").select("kind", "split", "merged")
 
 
 def p9_replaced(spark: SparkSession, sf: str) -> DataFrame:
     return personal.replace_personal(table(spark, sf, "documents"), key=SURROGATE_KEY)
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_groups": p5_groups, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_replaced": p9_replaced}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_groups": p5_groups, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found, "p9_pairs": p9_pairs, "p9_distinct": p9_distinct, "p9_replaced": p9_replaced}
 ORACLE: dict[str, str] = {}

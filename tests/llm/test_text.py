@@ -223,6 +223,71 @@ def test_addresses_of_hamlets(text, want):
     assert want is None or want not in P.surrogate_text(text, P.Surrogates(b"k" * 32))
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("ông Đậu Văn Bền gọi lại", "Đậu Văn Bền"), ("Người nhận: Kpă Thuyên", "Kpă Thuyên"), ("Contact: Jean-Luc Picard now", "Jean-Luc Picard"), ("Maria da Silva wrote", "Maria da Silva"), ("Mr. Ole Gunnar Sund", "Ole Gunnar Sund"),
+        ("Người nhận: Công Ty Chiếu Sáng", None), ("của người mua\n Dòng Bageryx bền", None), ("Contact: Customer Service", None), ("ông Ưu điểm", None),
+    ],
+)
+def test_names_beyond_the_lists(text, want):
+    assert [f.text for f in P.find(text) if f.kind == "name"] == ([want] if want else [])
+
+
+#: Invented names of which no word is in a list.
+RARE = ["Đậu Đượng Bền", "Kpă Thuyn", "Y Moan Ênuôl", "Jean-Luc Picard", "Ole Gunnar Sund", "Zsófia Kocsis", "Håkan Ørsted", "Siu Blêk", "Rơ Châm Phiang", "Giàng Sèo Phử"]
+
+
+def test_recall_beyond_the_lists():
+    frames = ["Người nhận: {}, giao giờ hành chính", "Họ và tên: {}", "Khách hỏi, ông {} trả lời", "Contact: {}, tomorrow", "Mr. {} will call", "my name is {}, hello", "Người liên hệ: {} (kho)", "Attn: {}"]
+    found = [name in {f.text for f in P.find(frame.format(name))} for name in RARE for frame in frames]
+    print(f"recall {sum(found)}/{len(found)}")
+    assert sum(found) >= 0.9 * len(found)
+
+
+def new_names(text, s):
+    return [new for _, new, _, _ in P.assigned(text, s)]
+
+
+def test_surrogates_keep_persons_apart_and_together():
+    s = P.Surrogates(b"k" * 32)
+    for a, b in (("Trần Thị Nga", "Trần Thị Ngà"), ("Lê Thị Yên", "Lê Thị Yến"), ("Trần Thị Nga", "Trần Thị Ngá"), ("Đậu Văn Bền", "Đậu Văn Bến")):
+        x, y = new_names(f"ông {a}; ông {b}", s)
+        assert x != y and P.fold(a) not in P.fold(x)
+    x, y, z = new_names("Anh Nguyễn Văn Thành và chị Nguyễn Văn Thành; NGUYEN VAN THANH", s)
+    assert x == y and z == P.fold(x).upper()
+    # Without accents it can only be the one it fits; of two it is none in particular.
+    assert new_names("ông Đậu Văn Bền, Người nhận: Dau Van Ben", s)[1] == P.fold(new_names("ông Đậu Văn Bền", s)[0]).title()
+    a, b, c = new_names("0951 632 845, +84 951 632 845, 0951632846", s)
+    assert a.replace(" ", "")[1:] == b.replace(" ", "")[3:] and c != a.replace(" ", "")
+    a, b = new_names("x.y@mail.example, x.y [at] mail [dot] example", s)
+    assert a.replace("@", " [at] ").replace(".example", " [dot] example") == b and a.endswith(".example") and "mail" not in a
+    assert new_names("Maria da Silva wrote", s)[0].split()[1] == "da"
+
+
+def test_surrogates_are_one_to_one():
+    import itertools
+
+    for key in (b"k" * 32, b"q" * 32, b"registered query"):
+        s = P.Surrogates(key)
+        words = ["".join(w) for n in (1, 2, 3) for w in itertools.product("abđeếdớx", repeat=n)] + ["an" * k for k in range(1, 12)] + ["мир", "мира", "ñandú", "ñandu"]
+        assert len({s.syllables(w) for w in words}) == len(words)
+        names = [" ".join(w) for w in itertools.product(P.SURNAMES, ("thị", "văn", "đượng"), [*P.FEMALE, *P.MALE, *P.EITHER, "bền", "bến"])]
+        assert len({s.name(n) for n in names}) == len(set(names))
+        for kind, texts in (("phone", [f"09516{i:05d}" for i in range(4000)]), ("id_number", [f"X{i:07d}" for i in range(4000)]), ("email", [f"{a}{i}@{b}.vn" for a in ("an", "na") for b in ("x", "y") for i in range(500)])):
+            new = {s.of(kind, t) for t in texts}
+            assert len(new) == len(texts) and all(len(t) == len(n) for t, n in zip(texts, map(lambda t: s.of(kind, t), texts))) or kind == "email"
+    with pytest.raises(ValueError):
+        P.one_to_one({"a": "b", "c": "b"})
+
+
+def test_surrogates_over_documents(spark):
+    rows = [(i, f"Chị {a} và {b}, 09516328{i:02d}, x{i}@mail.example", "clash") for i, (a, b) in enumerate([("Trần Thị Nga", "Trần Thị Ngà"), ("Lê Thị Yên", "Lê Thị Yến"), ("Trần Thị Ngà", "Tran Thi Nga"), ("Phạm Văn Thành", "Phạm Thị Thanh")])]
+    pairs = P.personal_pairs(spark.createDataFrame(rows, "doc_id long, text string, entity string"), "key")
+    assert {(r.split, r.merged) for r in P.distinctness(pairs).collect()} == {(0, 0)}
+    assert P.personal_pairs(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), "key").count() == 0
+
+
 def test_surrogates():
     s = P.Surrogates(b"k" * 32)
     text = "Chị Trần Uyên Thoại gọi 0951 632 845; TRAN UYEN THOAI, 0951632845, 0951632846, hộ chiếu Q6337739, cskh.hoai@inbox.test"
@@ -242,9 +307,9 @@ def test_surrogates():
 def test_personal_columns(spark):
     rows = [(1, PERSONAL[0][0], "a"), (2, None, "a"), (3, "", "a"), (4, "x " * 100_000 + PERSONAL[0][0], "a"), (5, PERSONAL[0][0] + "\n" + PERSONAL[0][0], "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
-    got = sorted(tuple(r) for r in P.find_personal(df).collect())
+    got = sorted(tuple(r) for r in P.find_personal(df, "key").collect())
     assert got == sorted((i, k, v) for i in (1, 4, 5) for k, v in PERSONAL[0][1])
     texts = {r.doc_id: r.text for r in P.replace_personal(df, "key").collect()}
     assert len(texts) == 5 and texts[2] is None and texts[3] == "" and "Thoại" not in texts[1]
-    assert P.find_personal(df.limit(0)).count() == P.replace_personal(df.limit(0), "key").count() == 0
+    assert P.find_personal(df.limit(0), "key").count() == P.replace_personal(df.limit(0), "key").count() == 0
     assert F is not None
