@@ -24,6 +24,16 @@ def test_plain():
     assert X.skeleton("LΕD") == X.skeleton("LED") != X.skeleton("LeD")
 
 
+def test_public_table():
+    for text in ("𝐋𝐄𝐃", "ⅬED", "LΕD", "ＬＥＤ", "ᏞED", "LꓰD"):
+        assert X.skeleton(text) == X.skeleton("LED"), text
+    for text, want in {"𝐋𝐄𝐃": "LED", "ⅬED": "LED", "αnh": "anh", "ℓed": "led", "ɴhà": "nhà", "Ꮮed": "Led", "αβγ": "αβγ", "12m² Ø5 º ª ¼ Ⅳ": "12m² Ø5 º ª ¼ Ⅳ", "5 µm": "5 µm", "𝟓0W": "50W", "дом": X.plain("дом"), "עברית": "עברית", "٥": "٥"}.items():
+        assert X.plain(text) == want and X.plain(want) == want, text
+    assert X.skeleton("modern") == X.skeleton("rnodern") and X.skeleton("Ⅳ") == X.skeleton("lV") and len(X.PUBLIC) > 6000
+    with pytest.raises(FileNotFoundError):
+        X.public_table("/nowhere.jar")
+
+
 def test_inconsistent_against_brute_force(spark):
     rng = random.Random(3)
     letters = "aáẩđD Ee  ​ᴀоΟ²Ø–　ｗ́"
