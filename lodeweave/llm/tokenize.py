@@ -15,9 +15,11 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodeweave.session import spread
 
@@ -163,3 +165,16 @@ def encode_column(df: DataFrame, *, id: str = "doc_id", text: str = "text", path
             yield pa.RecordBatch.from_arrays([b.column(0), ids], [id, "ids"])
 
     return spread(df.select(id, text)).mapInArrow(run, f"`{id}` {kind}, ids array<int>")
+
+
+def decoded(df: DataFrame, *, ids: str = "ids", path: str | None = None) -> DataFrame:
+    """``df`` with the column decoded: the text of the ids, empty for none, null for null."""
+    where = vocabulary_path(path)
+
+    @F.pandas_udf("string")
+    def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = Encoder(where)
+        for b in batches:
+            yield b.map(lambda x: None if x is None else encoder.decode(x.tolist()).decode("utf-8", "replace"))
+
+    return df.withColumn("decoded", text_of(F.col(ids)))

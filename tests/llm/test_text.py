@@ -331,3 +331,35 @@ def test_personal_columns(spark):
     assert len(texts) == 5 and texts[2] is None and texts[3] == "" and "Thoại" not in texts[1]
     assert P.find_personal(df.limit(0), "key").count() == P.replace_personal(df.limit(0), "key").count() == 0
     assert F is not None
+
+
+def test_slots_against_all_products():
+    import itertools
+
+    rng = random.Random(5)
+    for _ in range(300):
+        slots = [["".join(rng.choice("abc") for _ in range(rng.randint(0, 3))) for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(1, 3))]
+        key = "".join(rng.choice("abc") for _ in range(rng.randint(1, 7)))
+        whole = min(C.weighted_distance("".join(p), key, 99) for p in itertools.product(*slots))
+        got = C.slots_distance(slots, key, 99)
+        # Without letters transposed across slots it can only be more, and at most by what a transposition saves.
+        assert whole - 1e-9 <= got and (got <= 2 * whole + 1e-9)
+    assert C.slots_distance([["x"] * 50] * 60, "abc", 2) == float("inf") and C.slots_distance([["ab", "trong"], ["", "nha"]], "trongnha", 2) == 0
+
+
+def test_many_choices_and_a_typing_error():
+    """More choices a word, and more readings in all, than were once looked up."""
+    words = [f"t{a}{b}n" for a in "abcdefghij" for b in "aeiou"]
+    names = [(i + 1, f"đèn {w} {v} xanh trời", 1) for i, (w, v) in enumerate(zip(words, reversed(words)))]
+    d = C.Dictionary(names)
+    for i in (0, 17, 49):
+        typed = names[i][1].split()
+        assert d.find(f"đ. t. {typed[2]} xnah t.") == i + 1
+    with pytest.raises(ValueError):
+        C.Dictionary(names, max_keys=100)
+
+
+def test_vocabulary_is_a_parameter():
+    d = C.Dictionary([(1, "jardin public", 1)], C.Vocabulary({"garden": "jardin"}, ("pas cher",), ("rayon",)))
+    assert d.find("Rayon: garden public pas cher") == 1 and d.find("indoor public") == 0
+    assert C.Dictionary([], C.Vocabulary()).find("x") == 0
