@@ -124,37 +124,45 @@ def _from_text(text: Column, kind: str) -> Column:
 
 
 def entity_cells(tags: DataFrame, columns: DataFrame, *, entity: str = "extraction_id", key: str = "key", value: str = "value", order: str = "ord") -> tuple[DataFrame, list[WideColumn]]:
-    """(entity, pos, val): the readable value of highest order per entity and attribute, val as text.
+    """(entity, pos, val): the readable value of highest order per entity and attribute, val as text;
+    and once per entity that has rows without a readable value, pos -1 and val null.
 
-    ``tags`` is a table scan."""
+    ``tags`` is a table scan, which is read once. Values meet by entity and attribute with
+    partial maxima before the shuffle, so an entity of very many rows makes no large group."""
     spec, aliases = read_spec(columns)
     lookup = local_rows(tags.sparkSession, list(aliases.items()), "_k string,pos int")
-    rows = spread(tags).select(F.col(entity).alias("entity"), F.col(order).alias("_ord"), F.col(value).alias("_v"), F.coalesce(fold_key(F.col(key)), F.lit("")).alias("_k")).where("entity is not null and _v is not null")
+    rows = spread(tags).select(F.col(entity).alias("entity"), F.col(order).alias("_ord"), F.col(value).alias("_v"), F.coalesce(fold_key(F.col(key)), F.lit("")).alias("_k")).where("entity is not null")
     # read_spec has bounded the lookup by MAX_SPEC_ROWS. A key is never null here, so that no
     # filter on it repeats the folding.
-    keyed = rows.join(F.broadcast(lookup), "_k")
-    read = _with_readable(keyed, spec).select("entity", "pos", F.coalesce(F.col("_ord").cast("bigint"), F.lit(-(2**62))).alias("_ord"), "val").where("val is not null")
-    return read.groupBy("entity", "pos").agg(F.max_by("val", F.struct("_ord", "val")).alias("val")), spec
+    keyed = rows.join(F.broadcast(lookup), "_k", "left")
+    read = _with_readable(keyed, spec).select("entity", F.when(F.col("val").isNotNull(), F.col("pos")).otherwise(-1).alias("pos"), F.coalesce(F.col("_ord").cast("bigint"), F.lit(-(2**62))).alias("_ord"), "val")
+    return read.groupBy("entity", "pos").agg(F.max_by("val", F.when(F.col("val").isNotNull(), F.struct("_ord", "val"))).alias("val")), spec
 
 
 def widen(tags: DataFrame, columns: DataFrame, entities: DataFrame | None = None, *, entity: str = "extraction_id", key: str = "key", value: str = "value", order: str = "ord") -> DataFrame:
     """One row per entity with the typed columns of ``columns`` (attr, alias, value_type, unit).
 
-    The entity-by-attribute grid is completed, the values are left joined to it, each
-    entity's cells are collected as an array sorted by attribute position, and fixed
-    places of that array are projected through casts of the column's type. The array
-    holds one cell per attribute, so it is bounded by the specification.
+    The values of an entity, at most one per attribute, are brought together; there its row of
+    the entity-by-attribute grid is completed with every attribute's position, and the values
+    are left joined to it by position. What results is an array with one cell per attribute,
+    sorted by position, whose fixed places are projected through casts of the column's type.
+    As the grid is joined entity by entity, neither it nor the join is shuffled.
 
     Keys are matched without regard to case, accents, signs and spaces; keys outside the
     specification are left aside. Of several values of an attribute the readable one of
     the highest order counts; with equal order the greatest text. Null entities and null
-    values are left out; an entity without any readable value keeps a row of nulls. Other
-    columns of ``tags`` are ignored. An empty table gives an empty table."""
+    values are left out; an entity without any readable value keeps a row of nulls. With
+    ``entities`` (the column ``entity``) the rows are those entities, with or without tags,
+    and no others. Other columns of ``tags`` are ignored. An empty table gives an empty table."""
     cells, spec = entity_cells(tags, columns, entity=entity, key=key, value=value, order=order)
-    who = (entities if entities is not None else tags).select(F.col(entity).alias("entity")).where("entity is not null").distinct()
-    grid = who.select("entity", F.explode(F.array(*[F.lit(c.pos) for c in spec])).alias("pos"))
-    full = grid.join(cells, ["entity", "pos"], "left")
-    rows = full.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("pos", "val"))).alias("cells"))
+    lists = cells.groupBy("entity").agg(F.collect_list(F.struct("pos", "val")).alias("values"))
+    if entities is not None:
+        who = entities.select(F.col(entity).alias("entity")).where("entity is not null").distinct()
+        lists = who.join(lists, "entity", "left")
+    grid = F.sequence(F.lit(0), F.lit(len(spec) - 1)) if spec else F.array().cast("array<int>")
+    values = F.map_from_entries(F.filter(F.coalesce("values", F.array().cast("array<struct<pos:int,val:string>>")), lambda x: x["pos"] >= 0))
+    joined = F.transform(grid, lambda p: F.struct(p.alias("pos"), F.element_at("values", p).alias("val")))
+    rows = lists.withColumn("values", values).select("entity", F.sort_array(joined).alias("cells"))
     return rows.select(F.col("entity").alias(entity), *[_from_text(F.get(F.col("cells"), F.lit(c.pos))["val"], c.value_type).alias(c.attr) for c in spec])
 
 
