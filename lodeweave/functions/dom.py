@@ -116,6 +116,8 @@ def _compile(selector: str) -> list[list[tuple[str, list]]]:
             if word == ">":
                 how = ">"
                 continue
+            if _SIMPLE.sub("", word):
+                raise ValueError(f"selector {selector!r}: {word!r} isn't understood")
             tests = []
             for m in _SIMPLE.finditer(word):
                 tag, cls, ident, attr, op, *values, fn, arg = m.groups()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeweave.functions.text import shorten
+from lodeweave.session import small
 
 #: Most sheets of a workbook; their names are settled on the driver.
 MAX_SHEETS = 10_000
@@ -31,7 +32,7 @@ def sheet_order(rows: DataFrame, group: str, ranks: DataFrame | None = None) ->
     rows without group last."""
     counts = rows.groupBy(F.col(group).alias("group")).agg(F.count("*").alias("n"))
     if ranks is not None:
-        counts = counts.join(F.broadcast(ranks.select(F.col(group).alias("group"), "rank")), "group", "left")
+        counts = counts.join(small(ranks.select(F.col(group).alias("group"), "rank")), "group", "left")
     else:
         counts = counts.withColumn("rank", F.lit(None).cast("int"))
     w = Window.orderBy(F.col("group").isNull(), F.col("rank").isNull(), "rank", F.desc("n"), "group")
@@ -62,7 +63,7 @@ def distinct_names(sheets: DataFrame) -> DataFrame:
 def export_plan(rows: DataFrame, group: str, order: list[str], ranks: DataFrame | None = None) -> DataFrame:
     """Rows with ``sheet_no`` and ``row_no``, their running number within the sheet in the given order."""
     sheets = sheet_order(rows, group, ranks).select(F.col("group").alias("_g"), F.col("place").alias("sheet_no"))
-    placed = rows.join(F.broadcast(sheets), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    placed = rows.join(small(sheets), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
     return placed.withColumn("row_no", F.row_number().over(Window.partitionBy("sheet_no").orderBy(*order)))
 
 

@@ -9,12 +9,13 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodeweave.functions import dom
 from lodeweave.functions import urls as U
-from lodeweave.session import spread
+from lodeweave.session import cut, spread
 
 NAVIGATION = "nav, header, .menu, .nav, #menu, #nav"
 NOISE = frozenset("script style template noscript nav header footer aside iframe svg".split())
@@ -279,7 +280,7 @@ def card_links(links: DataFrame) -> DataFrame:
 
 def page_kinds(features: DataFrame) -> DataFrame:
     """product, listing or other, by structured data, cards and specification fields."""
-    kind = F.when(F.col("n_products") == 1, F.lit("product")).when(F.col("n_cards") >= 30, F.lit("listing")).when(F.col("n_spec_fields") >= 5, F.lit("product")).otherwise(F.lit("other"))
+    kind = F.when(F.col("n_products") >= 1, F.lit("product")).when(F.col("n_cards") >= 30, F.lit("listing")).when(F.col("n_spec_fields") >= 5, F.lit("product")).otherwise(F.lit("other"))
     return features.withColumn("kind", kind)
 
 
@@ -292,13 +293,20 @@ def category_levels(features: DataFrame, leaf_hosts: list[str], host: str = "dom
     return features.withColumns({f"category_{i + 1}": F.get(three, F.lit(i)) for i in range(3)})
 
 
+#: Most rules of css_fields and dom_categories; they are sent with every task.
+MAX_RULES = 100_000
+
+
 def css_fields(pages: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """(keys, field, value): the first rule of each field, by ord, that finds something on the page.
 
     ``rules`` (domain, ord, field, selector, attr) is configuration, read on the driver and
     sent with the task; each page is parsed once for all its rules."""
     by_domain: dict[str, list] = {}
-    for r in rules.orderBy("domain", "ord").limit(100_000).collect():
+    listed = rules.orderBy("domain", "ord").limit(MAX_RULES + 1).collect()
+    if len(listed) > MAX_RULES:
+        raise ValueError(f"there are at most {MAX_RULES} rules")
+    for r in listed:
         by_domain.setdefault(r.domain, []).append((r.field, r.selector, r.attr))
 
     def read(html: str | None, url: str | None) -> list[dict]:
@@ -317,6 +325,41 @@ def css_fields(pages: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ("id"
     return _per_page(pages, "field string, value string", read, list(keys))
 
 
+def dom_categories(pages: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keys, labels): the texts of the links that the domain's selector finds, in order, each once,
+    without the link to the page itself; null for domains without a selector and for null pages.
+
+    ``rules`` has (domain, selector), at most MAX_RULES of them, else ValueError."""
+    listed = rules.select("domain", "selector").limit(MAX_RULES + 1).collect()
+    if len(listed) > MAX_RULES:
+        raise ValueError(f"there are at most {MAX_RULES} rules")
+    chosen = {r.domain: r.selector for r in listed}
+
+    def read(html: str | None, url: str | None) -> dict:
+        selector = chosen.get(re.sub(r"^[a-z]+://", "", url or "").split("/")[0])
+        if selector is None or html is None:
+            return {"labels": None}
+        own = (url or "").rstrip("/")
+        found = ((n.text(), urldefrag(urljoin(url or "", n.attrs.get("href", "")))[0].rstrip("/") if n.attrs.get("href") else "") for n in dom.select(dom.parse(html), selector))
+        return {"labels": list(dict.fromkeys(text for text, target in found if text and target != own))}
+
+    return _per_page(pages, "labels array<string>", read, list(keys))
+
+
+def anchored_levels(labels: Column, anchors: Column) -> list[Column]:
+    """Three category levels of a list of labels: from the first label on that is one of the
+    ``anchors``; from the first label where none is."""
+    at = F.array_position(F.transform(labels, lambda x: F.array_contains(anchors, x)), True)
+    rest = F.slice(labels, F.greatest(at, F.lit(1)).cast("int"), 3)
+    return [F.get(rest, F.lit(i)) for i in range(3)]
+
+
+def chosen_levels(from_page: list[Column], from_data: list[Column]) -> list[Column]:
+    """The levels that the page's own list gives, if it gives the first; else those of the structured
+    data. All levels come from the same place."""
+    return [F.when(from_page[0].isNotNull(), a).otherwise(b) for a, b in zip(from_page, from_data)]
+
+
 def rebuild(pages: DataFrame, version: str) -> DataFrame:
     """Extraction rows of captured pages by structured data, headings and specification lines."""
     got = read_pages(pages, keys=("id", "url", "domain"))
@@ -345,11 +388,49 @@ def known_links(links: DataFrame, known: DataFrame) -> DataFrame:
     return links.withColumn("_k", U.slash_key(F.col("href"))).join(keyed, "_k").drop("_k")
 
 
+# Fixed value: how a url names a further page of a listing.
+PAGE_MARKER = r"(?i)[/?&](?:page|paged|trang)[=/-]?\d+"
+
+
 def pager_links(links: DataFrame) -> DataFrame:
-    """Links from a listing to its further pages: a page marker, and the listing's own path."""
-    marked = F.rlike("href", F.lit(r"(?i)[?&](?:page|p|trang)=\d+|/(?:page|trang)[/-]\d+|[?&]paged=\d+"))
-    own = F.startswith(U.path(F.col("href")), F.regexp_replace(U.path(F.col("url")), "/+$", ""))
-    return links.where(marked & own & (U.host(F.col("href")) == U.host(F.col("url"))))
+    """Links from a listing to its further pages: a page marker, and the listing's own path or
+    one below it; a path that only begins with the same letters is another listing's."""
+    marked = F.rlike("href", F.lit(PAGE_MARKER))
+    own = F.regexp_replace(U.path(F.col("url")), "/+$", "")
+    rest = F.substring(U.path(F.col("href")), F.length(own) + 1, F.length("href"))
+    below = F.startswith(U.path(F.col("href")), own) & ((rest == "") | F.startswith(rest, F.lit("/")))
+    return links.where(marked & below & (U.host(F.col("href")) == U.host(F.col("url"))))
+
+
+def walk_categories(categories: DataFrame, links: DataFrame, known: DataFrame, max_pages: int = 20) -> tuple[DataFrame, DataFrame]:
+    """The products of every category, on its page and its further pages, and how the walk went.
+
+    ``categories`` has url; ``links`` (url, href) are those of the captured pages, so a page
+    without links there can't be read; ``known`` has the url of products. Returns (category,
+    product_url) and (category, pages_fetched, ok): a category whose first page can't be read
+    isn't ok and has no products, which says nothing about it; one that can and has none is
+    empty. At most ``max_pages`` pages of a category are read, nearer ones and then lesser
+    urls first. Every round reads the pages that the round before has found, in one join."""
+    captured = cut(links.where("url is not null and href is not null").select("url", "href").distinct())
+    pages = captured.select("url").distinct()
+    roots = categories.where("url is not null").select(F.col("url").alias("category")).distinct()
+    frontier = cut(roots.select("category", F.col("category").alias("url"), F.lit(0).alias("hop")))
+    read = frontier.limit(0)
+    while True:
+        # Ranks run within one category and hop; what exceeds the budget of pages is cut off.
+        taken = read.groupBy("category").agg(F.count("*").alias("_taken"))
+        ranked = frontier.join(pages, "url", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("category").orderBy("url")))
+        now = cut(ranked.join(taken, "category", "left").where(F.col("_n") + F.coalesce("_taken", F.lit(0)) <= max_pages).select("category", "url", "hop"))
+        if now.isEmpty():
+            break
+        read = cut(read.unionByName(now))
+        onward = now.join(captured, "url").select("category", F.col("category").alias("url"), "href", "hop")
+        new = pager_links(onward).select("category", F.col("href").alias("url"), F.col("hop") + 1).toDF("category", "url", "hop").distinct()
+        frontier = cut(new.join(read, ["category", "url"], "left_anti"))
+    found = known_links(read.join(captured, "url").select("category", "href"), known).select("category", "product_url").distinct()
+    fetched = read.groupBy("category").agg(F.count("*").alias("pages_fetched"))
+    report = roots.join(fetched, "category", "left").select("category", F.coalesce("pages_fetched", F.lit(0)).alias("pages_fetched"), F.col("pages_fetched").isNotNull().alias("ok"))
+    return found, report
 
 
 def sku_code(sku: str):

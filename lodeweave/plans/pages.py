@@ -78,7 +78,7 @@ QUERIES = {
     "sections": _t("page_snapshots")(lambda p: sections.find_sections(p).groupBy("source").agg(F.count("*").alias("n"))),
     "contexts": _t("page_snapshots")(lambda p: pages.contexts(p)),
     "known_links": _t("category_products", "page_snapshots")(lambda c, p: pages.known_links(_links(c).select("url", F.concat("href", F.lit("/")).alias("href")), p.where("url not like '%/'").select("url").distinct()).select("url", "href", "product_url")),
-    "pager_links": _t("category_pages")(lambda c: pages.pager_links(c.select("url", F.explode(F.array(F.concat("url", F.lit("?page=2")), F.concat("url", F.lit("-x/page/3")), F.lit("https://other.example/?page=2"), F.col("url"))).alias("href")))),
+    "pager_links": _t("category_pages")(lambda c: pages.pager_links(c.select("url", F.explode(F.array(F.concat("url", F.lit("?page=2")), F.concat(F.regexp_replace("url", "/+$", ""), F.lit("/paged/2")), F.concat(F.regexp_replace("url", "/+$", ""), F.lit("/trang2")), F.concat(F.regexp_replace("url", "/+$", ""), F.lit("-x/page/3")), F.concat("url", F.lit("?p=12")), F.lit("https://other.example/?page=2"), F.col("url"))).alias("href")))),
     "sku_codes": _t("extractions")(lambda e: e.select("id", *(c.alias(n) for c, n in zip(pages.sku_code("ma_san_pham"), ("code", "raw"))))),
     "sap_codes": _t("extractions")(lambda e: e.select("id", *(c.alias(n) for c, n in zip(pages.sku_code("ma_sap"), ("code", "raw"))))),
     "grounded_tags": _t("product_tags", "extractions")(lambda t, e: pages.grounded_tags(t.where("value is not null").join(e.select(F.col("id").alias("extraction_id"), "thong_so_ky_thuat"), "extraction_id"), "thong_so_ky_thuat").select("extraction_id", "ord", "key", "value")),
@@ -111,14 +111,11 @@ ORACLE = {
     "silent": "select user_id, max(ts) as last from events group by 1 having max(ts) is null or max(ts) < timestamp '2024-06-01 00:00:00' - interval 5 minutes",
     "backoff": "select user_id, list_reduce(list_prepend(0.0::double, list(case when event_type = 'error' then 1.0::double else 0.0::double end order by event_id)), lambda d, f: case when f = 1 then least(15.0, greatest(1.0, d * 2)) when d / 2 <= 0.25 then 0.0 else d / 2 end) as delay from events group by 1",
     "known_links": "with k as (select regexp_replace(url, '/+$', '') k, min(url) u from page_snapshots where url not like '%/' group by 1), l as (select distinct domain, category_url as url, product_url || '/' as href from category_products) select l.url, href, u as product_url from l join k on k.k = regexp_replace(href, '/+$', '')",
-    "pager_links": "select url, url || '?page=2' as href from category_pages union all select url, url || '-x/page/3' from category_pages where url not like '%/'",
+    "pager_links": "select url, url || '?page=2' as href from category_pages union all select url, regexp_replace(url, '/+$', '') || unnest(['/paged/2', '/trang2']) from category_pages",
     "sku_codes": "select id, case when regexp_matches(trim(ma_san_pham, ' '), '\\pL') then trim(ma_san_pham, ' ') end as code, nullif(trim(ma_san_pham, ' '), '') as raw from extractions",
     "sap_codes": "select id, case when regexp_matches(trim(ma_sap, ' '), '\\pL') then trim(ma_sap, ' ') end as code, nullif(trim(ma_sap, ' '), '') as raw from extractions",
     "grounded_tags": "with s as (select id, regexp_replace(lower(coalesce(thong_so_ky_thuat, '')), '[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x{3000}]+', '', 'g') s from extractions), v as (select t.*, s, list_filter(list_transform(regexp_split_to_array(value, '[/,;()]+'), lambda x: regexp_replace(lower(x), '[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x{3000}]+', '', 'g')), lambda x: x <> '') p from product_tags t join s on id = extraction_id where value is not null) select extraction_id, ord, key, value from v where s = '' or len(list_filter(p, lambda x: not contains(s, x))) = 0",
     "sitemap_reliability": "with cur as (select * from (select *, row_number() over (partition by url order by (snapshot_id is null), snapshot_id desc, id desc) rn from extractions) where rn = 1), u as (select distinct domain, url from page_snapshots) select domain, count(*) as sampled, count(*) filter (url in (select url from cur where crawl_status = 'ok')) / count(*)::double as reliability from u group by 1",
     "fold_keys": f"select {_FOLD} as key, count(*) as n from product_tags group by 1",
     "brand_in_name": "select id, contains(' ' || trim(regexp_replace(replace(lower(strip_accents(regexp_replace(ten_san_pham, '[\\x{200b}\\x{feff}]', ' ', 'g'))), 'đ', 'd'), '[^\\pL\\pN]+', ' ', 'g')) || ' ', ' mirasol vi ') as hit from extractions where ten_san_pham is not null",
-    "page_features": """with p as (select id, regexp_extract(html, '<title>([^<]*)</title>', 1) t, regexp_extract(html, '<h1>([^<]*)</h1>', 1) h from page_snapshots) select id, nullif(trim(t), '') as title from p""",
 }
-# The features as a whole need a document tree; SQL covers the fields that tests compare.
-del ORACLE["page_features"]

@@ -16,10 +16,14 @@ from lodeweave.sources import xlsx
 IMPORTED = "imported-xlsx"
 
 
-def import_workbook(spark: SparkSession, path: str, columns: list[str], key: str, skip: str = "") -> DataFrame:
+#: Name of the sheet of rows to look at; it repeats rows of other sheets and is no source of records.
+REVIEW_SHEET = "Cần xem lại"
+
+
+def import_workbook(spark: SparkSession, path: str, columns: list[str], key: str, skip: str = REVIEW_SHEET) -> DataFrame:
     """Rows of all sheets by header name; of rows with an equal key the last one, by sheet and row, stays.
 
-    Rows have no snapshot and the version IMPORTED. Rows without a key are left out."""
+    The sheet ``skip`` is left out. Rows have no snapshot and the version IMPORTED. Rows without a key are left out."""
     xlsx.register(spark)
     schema = ", ".join(["sheet string", "row_no int", *[f"`{c}` string" for c in columns]])
     rows = spark.read.format("xlsx").option("skip", skip).schema(schema).load(path).withColumn("_at", F.monotonically_increasing_id()).where(F.coalesce(F.trim(F.col(key)), F.lit("")) != "")
@@ -41,7 +45,7 @@ def write_plan(rows: DataFrame, group: str, order: list[str], columns: list[str]
 
     sheets = [(r.sheet, header, lines(r.place)) for r in names]
     if review is not None:
-        sheets.append(("Cần xem lại", [*columns, "reason"], (list(r) for r in review.select(*[F.col(c).cast("string") for c in columns], "reason").toLocalIterator())))
+        sheets.append((REVIEW_SHEET, [*columns, "reason"], (list(r) for r in review.select(*[F.col(c).cast("string") for c in columns], "reason").toLocalIterator())))
     xlsx.write_workbook(path, sheets or [("Sheet1", header, iter(()))])
     return len(sheets)
 
@@ -72,5 +76,9 @@ def inflate(blobs: pd.Series) -> pd.Series:
 
 
 def tags_json(tags: Column) -> Column:
-    """Ordered entries of (ord, key, value) as a JSON object, null if there are none."""
-    return F.when(F.size(tags) > 0, F.to_json(F.map_from_entries(F.array_distinct(F.transform(tags, lambda t: F.struct(t["key"], t["value"]))))))
+    """Ordered entries of (ord, key, value) as a JSON object, null if there are none. Of a key that is
+    stated more than once the value of the highest ord counts; entries without a key are left out."""
+    entries = F.filter(F.array_sort(tags), lambda t: t["key"].isNotNull())
+    later = lambda t, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda u: u["key"] == t["key"])
+    last = F.filter(entries, lambda t, i: ~later(t, i))
+    return F.when(F.size(tags) > 0, F.to_json(F.map_from_entries(F.transform(last, lambda t: F.struct(t["key"], t["value"])))))
