@@ -45,9 +45,17 @@ _FOLD = {c: unicodedata.normalize("NFD", chr(c))[0].lower() for c in [*range(0xC
 _FOLD |= {c: chr(c + 32) for c in range(65, 91)}
 
 
+_MARK = re.compile("[\u0300-\u036f]")
+
+
 def fold(text: str) -> str:
     """Lower case without accents, of the same length."""
-    return text.translate(_FOLD)
+    if text.isascii():
+        return text.lower()
+    # Decomposing is faster than a table; where it changes the length, as for marks that stand alone
+    # or letters of other scripts, the table does it.
+    bare = _MARK.sub("", unicodedata.normalize("NFD", text)).lower().replace("đ", "d")
+    return bare if len(bare) == len(text) else text.translate(_FOLD)
 
 
 _SURNAME = {fold(s) for s in SURNAMES}
@@ -56,7 +64,6 @@ _EXACT = {*SURNAMES, *FEMALE, *MALE, *EITHER}
 
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _SPACE_LIKE = re.compile("[  -  　]")
-_MARK = re.compile("[̀-ͯ]")
 
 
 def view(text: str) -> tuple[str, list[int] | None]:
@@ -125,7 +132,7 @@ ADDRESS = re.compile(
 #: texts have few such places. Each branch of ADDRESS implies it.
 _MAYBE_ADDRESS = re.compile(rf"(?:\d[A-Za-z]?|{_HAMLET}) \w[\w ]*,")
 
-_WORDS = re.compile(r"[^\W\d_]+")
+_FAMILY = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(sorted(_SURNAME))})(?![^\W\d_])")
 _INITIALS = re.compile(r" ((?:[^\W\d_]\.){1,3})(?= )")
 _NEXT = re.compile(r" ([^\W\d_]+)")
 # Words after which a person is named, folded; a name there may hold any capitalised words.
@@ -149,7 +156,14 @@ _EN_LEADS = re.compile(r"(?:(?i:from|contact|ordered by|signed for by|my name is
 _NOT_PERSON = {"The", "Our", "Best", "Please", "Reply", "Note", "Call", "Invoice", "Warranty", "Rated", "Stock", "Shop", "Listed", "Signed", "Order", "Ordered", "Company", "Lighting", "Flat", "Passport", "Contact", "From", "Follow", "See", "Batch", "Barcode", "Lane", "Avenue", "Court", "Road", "Street", "Drive", "Close", "Square", "Way", "Terrace", "Alley", "Boulevard", "Row", "Quay"}
 
 
+#: What every address has, and every identity number: texts without it are spared the patterns.
+_MAYBE_EMAIL = re.compile(r"[@＠]|[\[({](?:at|a|a còng|a cong)[\])}]| (?:at|AT|a còng|a cong|A CÒNG) ")
+_MAYBE_ID = re.compile(r"\d{3}[ .]?\d{3}[ .]?\d{3}|\d{7}")
+
+
 def _emails(v: str) -> Iterator[tuple[int, int]]:
+    if not _MAYBE_EMAIL.search(v):
+        return
     for m in EMAIL.finditer(v):
         if m.group("word"):
             plain_domain = not _DISGUISED.search(m.group("domain"))
@@ -171,6 +185,8 @@ def _phones(v: str) -> Iterator[tuple[int, int]]:
 
 
 def _ids(v: str, f: str) -> Iterator[tuple[int, int]]:
+    if not _MAYBE_ID.search(v):
+        return
     for w in ID_WORDS.finditer(f):
         m = ID_NUMBER.match(v, w.end())
         if m and len(re.sub(r"\W", "", m.group())) in (8, 9, 12):
@@ -187,17 +203,22 @@ def _addresses(v: str) -> Iterator[tuple[int, int]]:
         yield m.span()
 
 
+def _led(f: str, at: int) -> bool:
+    """Whether the words before a place announce a person."""
+    return bool(_LEADS.search(f[max(0, at - 30) : at]))
+
+
 def _names(v: str, f: str) -> Iterator[tuple[int, int]]:
     end = 0
-    for w in _WORDS.finditer(f):
-        if w.start() < end or w.group() not in _SURNAME:
+    for w in _FAMILY.finditer(f):
+        if w.start() < end:
             continue
         shown = v[w.start() : w.end()]
         low, upper = shown[0].islower(), shown.isupper() and len(shown) > 1
         at, words, known, full = w.end(), 1, 0, 0
         if low and shown not in _EXACT and shown != w.group():
             continue
-        led = bool(_LEADS.search(f[max(0, w.start() - 30) : w.start()]))
+        led: bool | None = None  # looked up where it decides
         while words < 5:
             m = _INITIALS.match(f, at)
             if m and v[m.start(1)].isupper():
@@ -211,12 +232,19 @@ def _names(v: str, f: str) -> Iterator[tuple[int, int]]:
                 break
             # In small letters a word is a name's only with its very accents, or without any in a bare text.
             in_list = m.group(1) in _GIVEN and (not low or word in _EXACT or (word == m.group(1) and shown == w.group()))
-            if not in_list and (low or not led):
-                break
+            if not in_list:
+                if low:
+                    break
+                led = _led(f, w.start()) if led is None else led
+                if not led:
+                    break
             at, words, known, full = m.end(), words + 1, known + in_list, 1
         # Bare small words are names only where a person is announced.
+        if full != 1:
+            continue
         bare = low and v[w.start() : at].isascii()
-        if full == 1 and not (bare and not led) and (known >= 2 or (known and not low) or led and not low and words >= 2):
+        led = _led(f, w.start()) if low and led is None else led
+        if not (bare and not led) and (known >= 2 or (known and not low) or led and not low and words >= 2):
             end = at
             yield w.start(), at
     for w in _ANNOUNCED.finditer(f):
