@@ -235,20 +235,22 @@ def read_page(html: str | None, url: str | None) -> dict:
     return out
 
 
-def _per_page(pages: DataFrame, schema: str, read: Callable[[str | None, str | None], list[dict] | dict], keys: list[str]) -> DataFrame:
+def _per_page(pages: DataFrame, schema: str, read: Callable[..., list[dict] | dict], keys: list[str], more: list[str] | None = None) -> DataFrame:
+    """(keys, schema): what ``read`` makes of the html and the url of every page, and of the columns ``more``."""
+    more = more or []
     names = [f.strip().split(" ")[0] for f in re.split(r",(?![^<]*>)", schema)]
     kinds = dict(pages.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for r in zip(*(b[k] for k in keys), b["url"], b["html"]):
-                got = read(r[-1], r[-2])
+            for r in zip(*(b[k] for k in keys), b["html"], b["url"], *(b[m] for m in more)):
+                got = read(*r[len(keys) :])
                 for g in got if isinstance(got, list) else [got]:
-                    rows.append((*r[:-2], *(g[n] for n in names)))
+                    rows.append((*r[: len(keys)], *(g[n] for n in names)))
             yield pd.DataFrame(rows, columns=[*keys, *names])
 
-    chosen = pages.select(*keys, *[c for c in ("url", "html") if c not in keys])
+    chosen = pages.select(*dict.fromkeys((*keys, "url", "html", *more)))
     head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     return spread(chosen).mapInPandas(run, f"{head}, {schema}")
 

@@ -183,7 +183,15 @@ def find_section(html: str | None, anchor: str | None = None, description: str |
     return {"source": "none", "title": None, "bullets": [], "summary": None, "content": None}
 
 
-def find_sections(pages: DataFrame, keys: tuple[str, ...] = ("id",), description: str | None = None) -> DataFrame:
-    """The section of every page; a page without one has source none. Anchors come with :func:`find_section`."""
+def find_sections(pages: DataFrame, keys: tuple[str, ...] = ("id",), description: str | dict[str, str] | None = None, anchor: str | None = None) -> DataFrame:
+    """The section of every page; a page without one has source none.
+
+    ``anchor`` names a column with a text that stands in the page's section; ``description``
+    is the selector of descriptions, one for all pages or one per host."""
     schema = "source string, title string, bullets array<string>, summary string, content string"
-    return _per_page(pages, schema, lambda html, url: find_section(html, None, description), list(keys))
+
+    def read(html: str | None, url: str | None, text: str | None = None) -> dict:
+        host = re.sub(r"^[A-Za-z]+://", "", url or "").split("/")[0]
+        return find_section(html, text, description.get(host) if isinstance(description, dict) else description)
+
+    return _per_page(pages, schema, read, list(keys), [anchor] if anchor else [])

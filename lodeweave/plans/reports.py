@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.operators import pages, registry, reports, store, versions
+from lodeweave.operators import discovery, pages, registry, reports, sections, store, versions
 from lodeweave.plans.records import _t
 from lodeweave.sources import records
 
@@ -31,6 +31,28 @@ def _planted(p: DataFrame) -> DataFrame:
     return p.select("id", "domain", "url", F.concat(F.lit("<html><head>"), data, F.lit("</head><body><h1>H</h1>"), body, F.lit("</body></html>")).alias("html"))
 
 
+def _sectioned(p: DataFrame) -> DataFrame:
+    """The captured urls with pages that have a section of every source in turn, and none."""
+    h = F.md5("url")
+    page = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    html = F.element_at(
+        F.array(
+            page("<h1>T</h1><h2>Ưu điểm</h2><ul><li>A ", h, "</li><li>B ", h, "</li></ul><h2>Thông số</h2><p>x</p>"),
+            page("<h2>S ", h, "</h2><p>a</p><h2>N ", h, "</h2><p>b</p><h2>M ", h, "</h2><p>c</p>"),
+            page("<h2>Vì da bạn</h2><p>ánh sáng ", h, " dịu</p>"),
+            page("<div class=d><p>Đèn ", h, " này sáng dịu và bền, dùng trong nhà được nhiều năm.</p></div>"),
+            page("<p>x</p>"),
+        ),
+        (F.col("id") % 5 + 1).cast("int"),
+    )
+    return p.select("id", "url", html.alias("html"), page("Ánh sáng ", h).alias("anchor"))
+
+
+def _sections(p: DataFrame) -> DataFrame:
+    found = sections.find_sections(_sectioned(p), description="div.d", anchor="anchor")
+    return found.select("id", "source", "title", F.array_join("bullets", "|").alias("bullets"))
+
+
 def _crumbs(e: DataFrame) -> DataFrame:
     """Extractions' levels as a list of links on a page, with a home link, one to the page itself and a repetition."""
     crumb = lambda c: F.coalesce(F.concat(F.lit('<a href="/c/'), F.md5(c), F.lit('">'), F.md5(c), F.lit("</a>")), F.lit(""))
@@ -94,6 +116,12 @@ QUERIES = {
     "planted_nav": _t("page_snapshots")(lambda p: pages.nav_links(pages.html_links(_planted(p))).select("id", "href")),
     "planted_cards": _t("page_snapshots")(lambda p: pages.card_links(pages.html_links(_planted(p), ("id", "url"))).select("id", "href")),
     "planted_products": _t("page_snapshots")(lambda p: pages.page_kinds(pages.read_pages(_planted(p))).select("id", "name", "sku", "kind")),
+    "planted_sections": _t("page_snapshots")(_sections),
+    "other_shapes": _t("page_snapshots")(lambda p: discovery.dominant_shape(p.select("url").distinct().select("url", F.posexplode(F.array(*[F.concat(F.lit(f"https://s.example/{x}/"), F.md5("url")) for x in ("a", "b", "b", "c/d")])).alias("ord", "href"))).select("url", "href")),
+    "redirects": _t("page_snapshots")(lambda p: p.select("id", discovery.decode_redirect(F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://find.example/r?x=1&u=a1"), F.translate(F.base64(F.encode("url", "utf-8")), "+/=\n\r", "-_"))).otherwise(F.col("url"))).alias("target"))),
+    "fresh_probes": _t("category_pages")(lambda c: discovery.fresh(c.select("domain", F.col("indexed_at").alias("probed_at")).distinct(), F.lit("2025-06-01 00:00:00").cast("timestamp_ntz"), 400)),
+    "breadcrumb_levels": _t("extractions")(lambda e: pages.category_levels(e.select("id", "domain", F.array_compact(F.array(F.lit("home"), "category_1", "category_2", "category_3", F.lit("more"), F.lit("self"))).alias("breadcrumb")), _LEAF_HOSTS).select("id", *_LEVELS)),
+    "answers": _t("product_tags")(lambda t: pages.parse_tags(t.where("key is not null").select("extraction_id", "ord", F.concat(F.lit('```json\n{"tags": {" '), F.md5("key"), F.lit(' ": "'), F.when(F.col("value").isNotNull(), F.md5("value")).otherwise(F.lit(" ")), F.lit('"}}\n```')).alias("answer"))).select("extraction_id", "ord", F.array_join(F.transform("tags", lambda x: F.concat(x["key"], F.lit("="), x["value"])), "|").alias("tags"), "error")),
     "tags_as_json": _t("product_tags")(lambda t: t.where("extraction_id is not null").groupBy("extraction_id").agg(F.collect_list(F.struct("ord", "key", "value")).alias("tags")).select("extraction_id", F.size(F.from_json(records.tags_json(F.col("tags")), "map<string,string>")).alias("keys"))),
 }
 
@@ -128,5 +156,11 @@ ORACLE = {
     "planted_nav": f"select id, {_HOST} || '/n/' || md5(url) as href from page_snapshots",
     "planted_cards": f"select id, {_HOST} || '/p/' || md5(url) as href from page_snapshots",
     "planted_products": "select id, 'N ' || md5(url) as name, 'S' || md5(url) as sku, 'product' as kind from page_snapshots",
+    "planted_sections": "select id, ['keyword', 'cluster', 'anchor', 'description', 'none'][id % 5 + 1] as source, case id % 5 when 0 then 'Ưu điểm' when 1 then 'S ' || md5(url) when 2 then 'Vì da bạn' end as title, case id % 5 when 0 then 'A ' || md5(url) || '|B ' || md5(url) when 1 then 'S ' || md5(url) || '|N ' || md5(url) || '|M ' || md5(url) else '' end as bullets from page_snapshots",
+    "other_shapes": "select distinct url, 'https://s.example/' || unnest(['a', 'c/d']) || '/' || md5(url) as href from page_snapshots",
+    "redirects": "select id, url as target from page_snapshots",
+    "fresh_probes": "select domain, max(indexed_at) as probed_at from category_pages where indexed_at > timestamp '2025-06-01' - interval 400 days group by 1",
+    "breadcrumb_levels": "with l as (select id, domain, list_filter([category_1, category_2, category_3, 'more'], lambda x: x is not null) l from extractions), s as (select id, case when domain in ('denphong.example', 'denvuon.example') and len(l) > 3 then l[-3:] else l[:3] end l from l) select id, l[1] as category_1, l[2] as category_2, l[3] as category_3 from s",
+    "answers": "select extraction_id, ord, case when value is null then '' else md5(key) || '=' || md5(value) end as tags, null::varchar as error from product_tags where key is not null",
     "tags_as_json": "select extraction_id, count(distinct key) as keys from product_tags where extraction_id is not null group by 1",
 }
