@@ -91,7 +91,18 @@ _SHAPE = "regexp_extract(regexp_replace(regexp_replace(split_part(split_part({0}
 _FOLD = "regexp_replace(replace(lower(strip_accents(key)), 'đ', 'd'), '[^\\pL\\pN]+', '', 'g')"
 _LINKS = "l as (select distinct domain, category_url as url, product_url as href, " + _SHAPE.format("product_url") + " as shape from category_products)"
 
+# Texts of the captured pages, whose form is known: a title, a heading and a list of lines.
+_CLEAN = "trim(regexp_replace({0}, '[\\s\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))"
+_SHOWN = "nullif(trim(regexp_replace(regexp_extract(html, '<{0}>([^<]*)</{0}>', 1), '\\s+', ' ', 'g')), '')"
+_HEADING, _TITLE = _SHOWN.format("h1"), _SHOWN.format("title")
+_LINES = "list_filter(list_transform(regexp_extract_all(html, '<li>([^<]*)</li>', 1), lambda x: " + _CLEAN.format("x") + "), lambda x: regexp_matches(x, '^[^:>][^:]{0,40}:.*[^ ]') and length(trim(split_part(x, ':', 1))) between 1 and 40 and trim(regexp_extract(x, '^[^:]*:(.*)$', 1)) <> '' and not contains(left(regexp_extract(x, '^[^:]*:(.*)$', 1), 3), '//'))"
+_PAIRS = f"list_transform({_LINES}, lambda x: trim(split_part(x, ':', 1)) || ': ' || trim(regexp_extract(x, '^[^:]*:(.*)$', 1)))"
+_ITEMS = f"array_to_string(list_filter({_PAIRS}, lambda x, i: list_position({_PAIRS}, x) = i), chr(10))"
+
 ORACLE = {
+    "page_features": f"select id, {_TITLE} as title, {_HEADING} as heading, {_ITEMS} as spec, 0 as n_links, 0 as n_cards from page_snapshots",
+    "rebuilt": f"select id as snapshot_id, coalesce({_HEADING}, {_TITLE}) as ten_san_pham, nullif({_ITEMS}, '') as thong_so_ky_thuat from page_snapshots where http_status = 200",
+    "sections": "select 'none' as source, count(*) as n from page_snapshots",
     "css_fields": "select id, 'price' as field, trim(regexp_extract(html, '<span class=price>([^<]*)</span>', 1)) as value from page_snapshots p join sites s using (domain) where trim(regexp_extract(html, '<span class=price>([^<]*)</span>', 1)) <> ''",
     "shape_groups": f"select domain, {_SHAPE.format('url')} as shape, count(*) as n from page_snapshots group by all",
     "shape_verdicts": f"with cur as (select * from (select *, row_number() over (partition by url order by (snapshot_id is null), snapshot_id desc, id desc) rn from extractions) where rn = 1), u as (select distinct domain, url, {_SHAPE.format('url')} as shape from page_snapshots), k as (select domain, shape, count(*) as n, count(*) as sampled, count(*) filter (url in (select url from cur where crawl_status = 'ok')) as hits from u group by 1, 2) select *, case when hits / sampled >= 0.8 then 'accept' when hits / sampled <= 0.2 then 'reject' else 'verify' end as verdict from k",
