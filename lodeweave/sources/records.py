@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeweave.operators import export
+from lodeweave.session import cut
 from lodeweave.sources import xlsx
 
 #: Version that marks rows from workbooks.
@@ -35,7 +36,8 @@ def write_plan(rows: DataFrame, group: str, order: list[str], columns: list[str]
     """One workbook of the rows, a sheet per group, numbered within each; the sheet of rows to look
     at comes last. Rows stream through the driver sheet by sheet; returns the number of sheets."""
     names = export.distinct_names(export.sheet_order(rows, group, ranks)).orderBy("place").collect()
-    plan = export.export_plan(rows, group, order, ranks)
+    # The plan is read once per sheet, so it is computed once.
+    plan = cut(export.export_plan(rows, group, order, ranks))
     header = ["STT", *columns]
 
     def lines(place: int):
